@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+import public_tokenizers
+
+from . import records, simhash, token_count
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark, sf_dir, name):
@@ -13,5 +17,13 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op3_token_counts(spark, sf_dir):
+    return token_count.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
+
+
+def op7_records(spark, sf_dir):
+    return records.encode_and_read(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op7_records": op7_records}
 ORACLE_SQL: dict[str, str] = {}
