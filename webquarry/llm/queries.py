@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import records, simhash, token_count
+from . import decontam, mixing, records, sharding, simhash, token_count
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,9 +21,28 @@ def op3_token_counts(spark, sf_dir):
     return token_count.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
 
 
+def op6_sharding(spark, sf_dir):
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 def op7_records(spark, sf_dir):
     return records.encode_and_read(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op7_records": op7_records}
+def op9_decontamination(spark, sf_dir):
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op3_token_counts": op3_token_counts,
+    "op6_sharding": op6_sharding,
+    "op7_records": op7_records,
+    "op9_decontamination": op9_decontamination,
+    "op10_mixing": op10_mixing,
+}
 ORACLE_SQL: dict[str, str] = {}
