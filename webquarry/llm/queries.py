@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, mixing, records, sharding, simhash, token_count, url_filter
+from . import decontam, langid, mixing, records, sharding, simhash, token_count, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +48,10 @@ def op3_token_counts(spark, sf_dir):
     return token_count.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
 
 
+def op5_langid(spark, sf_dir):
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
+    "op5_langid": op5_langid,
     "op6_sharding": op6_sharding,
     "op7_records": op7_records,
     "op9_decontamination": op9_decontamination,
