@@ -205,7 +205,7 @@ def fit(windows: list[tuple[str, str]], seed: int = 5) -> Model:
     if len(live) < 2:
         return model
 
-    count = sum(map(len, tokens)) // LENGTH
+    count = max(1, sum(map(len, tokens)) // LENGTH)
     seqs, gold = [], np.zeros((count, LENGTH), dtype=np.int64)
     for s in range(count):
         row, k = [], None
