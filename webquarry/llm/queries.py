@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, langid, mixing, records, sharding, simhash, token_count, url_filter
+from . import ann, decontam, langid, mixing, quality, records, sharding, simhash, token_count, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +48,10 @@ def op3_token_counts(spark, sf_dir):
     return token_count.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
 
 
+def op4_ann(spark, sf_dir):
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_langid(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,10 @@ def op7_records(spark, sf_dir):
     return records.encode_and_read(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
 
 
+def op8_quality(spark, sf_dir):
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -72,9 +80,11 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
+    "op4_ann": op4_ann,
     "op5_langid": op5_langid,
     "op6_sharding": op6_sharding,
     "op7_records": op7_records,
+    "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
