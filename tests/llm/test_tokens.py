@@ -58,3 +58,26 @@ def test_damage_is_found():
         bad[k] ^= 4
         with pytest.raises(records.DamagedRecord):
             records.unframe(bytes(bad))
+
+
+def test_plain_split_equals_unicode_split():
+    import regex
+
+    want, got = regex.compile(public_tokenizers.PATTERN).findall, token_count.plain_splitter(public_tokenizers.PATTERN)
+    every = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and not token_count.PLAIN.search(c)]
+    assert len(every) > 20000
+    rng = random.Random(8)
+    few = every[:700]
+    for _ in range(3000):
+        t = "".join(rng.choice(rng.choice([few, every, "a 1 '_\n"])) for _ in range(40))
+        assert got(t) == want(t)
+
+
+def test_memo_keeps_what_is_in_use():
+    m = token_count.Memo(20)
+    for i in range(1000):
+        m.keep(f"w{i}", i)
+        assert (m.get("hot") or m.find("hot")) == (7 if i else None)
+        if not i:
+            m.keep("hot", 7)
+    assert len(m) + len(m.old) <= 20

@@ -20,20 +20,22 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .token_count import MEMO_LEN, PLAIN
+from .token_count import MEMO_LEN, PLAIN, Memo, plain_splitter
 
 END_BYTE = b"\n"
-MEMO = 250_000
+MEMO = 500_000  # pre-tokens a worker keeps at most
+ROWS = 500  # rows turned to Python objects at a time
 FILE_BYTES = 24 << 20  # text bytes that one file takes about
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<qB")
@@ -122,12 +124,14 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile(pattern).findall
-        self.dtype = np.dtype(dtype)
-        self.memo: dict[str, bytes] = {}
+        self.split = plain_splitter(pattern)
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        if sys.byteorder != "little":
+            raise NotImplementedError("records are little-endian")
+        self.memo = Memo(MEMO)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -135,16 +139,24 @@ class WordEncoder:
         if PLAIN.search(text) or any(s in text for s in self.specials):
             return self.whole(text)
         words, memo = self.split(text), self.memo
-        new = list({w for w in words if w not in memo})
-        if not new:
+        try:
             return b"".join([memo[w] for w in words])
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set(words))
-        got = self.library.encode_batch_fast(new, add_special_tokens=False)
-        own = {w: np.array(e.ids, dtype=self.dtype).tobytes() for w, e in zip(new, got)}
-        memo.update((w, b) for w, b in own.items() if len(w) <= MEMO_LEN)
-        return b"".join([own[w] if w in own else memo[w] for w in words])
+        except KeyError:
+            pass
+        own: dict[str, bytes] = {}
+        new, back = [], []
+        for w in dict.fromkeys(words):
+            got = memo.get(w)
+            if got is None:
+                got = memo.old.get(w)
+                (back if got is not None else new).append(w)
+            own[w] = got
+        if new:
+            own.update(zip(new, (array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
+        for w in (*back, *new):
+            if len(w) <= MEMO_LEN:
+                memo.keep(w, own[w])
+        return b"".join([own[w] for w in words])
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -169,10 +181,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(tokenizer, pattern, dtype).ids
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = [document_frame(k, ids(t) + tail) for k, t in zip(keys, texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                out = [document_frame(k, ids(t) + tail) for k, t in zip(keys, texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     ordered = slim.repartitionByRange(int(files), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
     frames = ordered.mapInArrow(encoded, "frame binary")

@@ -21,10 +21,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEMO = 400_000  # memo entries a worker keeps at most; a full memo is emptied
+MEMO = 400_000  # entries a worker keeps at most, in two generations
 MEMO_LEN = 64  # longer pre-tokens are not memoised
-#: Characters whose Unicode classes are the same in every library version; other texts are split by the library itself.
-PLAIN = re.compile("[^\x00-\x1b\x20-ɏΑ-ΡΣ-ωА-я‐-‧‰-⁞€一-龥]")
+#: Letters whose Unicode class is the same in every library version.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я一-龥"
+#: Finds characters that are neither such letters, nor ASCII, nor common punctuation; texts that have one are split by the library itself.
+PLAIN = re.compile(f"[^\x00-\x1b\x20-\xb1´-¸»¿×÷º{LETTERS}‐-‧‰-⁞€]")
+
+
+def plain_splitter(pattern: str):
+    """findall for plain texts: the pattern with Python's own classes in place of \\p{L} and \\p{N}, which agree on them."""
+    own = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s0-9{LETTERS}]").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+    return (regex if r"\p" in own else re).compile(own).findall
+
+
+class Memo(dict):
+    """A bounded memo: when the young half is full it becomes the old one, from which words in use come back."""
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.half, self.old = bound // 2, {}
+
+    def find(self, word: str):
+        value = self.old.get(word)
+        if value is not None:
+            self.keep(word, value)
+        return value
+
+    def keep(self, word: str, value) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
 
 
 def byte_symbols() -> list[str]:
@@ -58,8 +86,8 @@ class BytePairCounter:
             self.pairs.setdefault(pair, (rank, ids.setdefault(a + b, len(ids))))
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.split = regex.compile(pattern).findall
-        self.memo: dict[str, int] = {}
+        self.split = plain_splitter(pattern)
+        self.memo = Memo(MEMO)
         self.library = None
 
     def merged(self, word: str) -> int:
@@ -118,13 +146,11 @@ class BytePairCounter:
         memo = self.memo
         for part in parts:
             for word in self.pieces(part):
-                n = memo.get(word)
+                n = memo.get(word) or memo.find(word)
                 if n is None:
                     n = self.merged(word)
                     if len(word) <= MEMO_LEN:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[word] = n
+                        memo.keep(word, n)
                 total += n
         return total
 
