@@ -34,12 +34,17 @@ def words(text: Column) -> Column:
 
 
 def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each position ``p`` and mask that fits the words ``t``: keep, t, p, h."""
-    n = F.size("t")
-    masks = len(MASKS)
-    each = df.where(n >= min(SPANS)).select(*keep, "t", F.explode(F.sequence(F.lit(0), masks * (n - min(SPANS) + 1) - 1)).alias("q"))
+    """A row for each position ``p`` and mask of the words ``t``: keep, t, p, h.
+
+    h is 0 where the mask doesn't fit, never null: neither a filter on it nor one on the words
+    may be pushed to where it would be evaluated twice for every word. For the same reason the
+    positions come from explode_outer, which has no inferred filter.
+    """
+    n, masks = F.size("t"), len(MASKS)
+    places = F.when(n >= min(SPANS), F.sequence(F.lit(0), masks * (n - min(SPANS) + 1) - 1))
+    each = df.select(*keep, "t", F.explode_outer(places).alias("q"))
     each = each.select(*keep, "t", F.expr(f"q div {masks}").cast("int").alias("p"), F.expr(f"q % {masks}").alias("m"))
-    h = F.lit(None).cast("long")
+    h = F.lit(0).cast("long")
     for i, mask in enumerate(MASKS):
         fits = (F.col("m") == i) & (F.col("p") + SPANS[i] <= F.size("t"))
         h = F.when(fits, F.xxhash64(F.lit(i), *[F.get("t", F.col("p") + o) for o in mask])).otherwise(h)
@@ -56,7 +61,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     """
     side = WINDOW - 1
     items = bench.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("t"))
-    seeds = _seeds(items, ["item_id"]).where("h IS NOT NULL")
+    seeds = _seeds(items, ["item_id"]).where("h <> 0")
     # The item's words from `side` before the hit on, and how many there are before it.
     seeds = seeds.select(
         "h", "item_id", F.size("t").alias("n"),
@@ -67,12 +72,15 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     few = seeds.count() <= broadcast_seeds
 
     own = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("t"))
-    at = _seeds(own, ["doc_id"]).where("h IS NOT NULL")
+    at = _seeds(own, ["doc_id"])
     here = [F.least("p", F.lit(side)).alias("dback"), F.slice("t", F.greatest(F.col("p") - side, F.lit(0)) + 1, F.lit(2 * side + 1)).alias("dctx")]
     if few:
         hits = at.join(F.broadcast(seeds), "h").select("doc_id", "item_id", "n", "back", "ctx", *here)
     else:
-        hits = at.select("doc_id", "h", *here).join(seeds, "h").drop("h")
+        hits = at.where("h <> 0").select("doc_id", "h", *here).join(seeds, "h").drop("h")
+    # A table between: the comparisons would otherwise move into the join's condition, which would then
+    # copy a document's words for each of its positions.
+    hits, _ = written(hits, "hits")
 
     # Agreement at each word of the item's context; beyond the document's ends nothing agrees.
     aligned = F.expr("transform(ctx, (w, k) -> if(coalesce(w = get(dctx, k - back + dback), false), 1, 0))")
