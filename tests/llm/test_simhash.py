@@ -80,9 +80,9 @@ def test_big_buckets_lose_no_link(spark):
 
 
 def test_keep_one_and_empty(spark):
-    rows = [(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "other words stand here"), (None, "z z z z"), (None, "z z z z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("c", F.lit(5))
+    rows = [(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (1, "the id of another text"), (2, "other words stand here"), (None, "z z z z"), (None, "z z z z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("c", F.lit(5)).withColumn("root", F.lit(1))
     kept = sorted((tuple(r) for r in simhash.keep_one(df).collect()), key=str)
-    assert kept == sorted([(1, "a b c d", 5), (2, "other words stand here", 5), (None, "z z z z", 5)], key=str)
+    assert kept == sorted([(1, "a b c d", 5, 1), (1, "the id of another text", 5, 1), (2, "other words stand here", 5, 1), (None, "z z z z", 5, 1)], key=str)
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0

@@ -104,6 +104,18 @@ def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
     return paired.unionByName(spanned).distinct()
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, fp, root (the group's smallest fingerprint) and component_id."""
+    slim, _ = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp")), "fingerprints")
+    reps = slim.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps, _ = written(reps, "representatives")
+    roots, _ = written(connected_components(links(reps.select("fp"))), "components")
+    named = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of = named.join(least, "root").select("fp", "root", "component_id")
+    return slim.join(of, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -111,36 +123,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and wordless texts have fingerprint zero and link like any other; repeated rows
     stay repeated; an empty table gives no rows; other columns of the input are not read.
     """
-    slim, _ = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp")), "fingerprints")
-    reps = slim.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps, _ = written(reps, "representatives")
-    roots, _ = written(connected_components(links(reps.select("fp"))), "components")
-    named = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return slim.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns kept.
 
     The row with the smallest id stays; of rows that repeat this id within the group any one
-    stays. In a group whose ids are all null one row of each fingerprint stays.
+    stays. A group whose ids are all null keeps one of its rows. Only the ids that go (or that
+    repeat) are joined with the rows.
     """
-    found = near_duplicates(docs, id_col, text_col).toDF("__wq_id", "__wq_fp", "__wq_comp")
-    # Rows that carry their group's smallest id: one for each group unless ids repeat.
-    least, _ = written(found.where(F.col("__wq_id").eqNullSafe(F.col("__wq_comp"))).groupBy("__wq_id", "__wq_fp").agg(F.count("*").alias("__wq_n")), "survivors")
-    total = least.groupBy("__wq_id").agg(F.sum("__wq_n").alias("__wq_n"))
-    rows = docs.join(total, docs[id_col].eqNullSafe(F.col("__wq_id")))
-    single = rows.where("__wq_n = 1").select(docs.columns)
-    if not total.where("__wq_n > 1").take(1):
-        return single
-    # Repeated ids: a row stays only if its own fingerprint is in the group, and once. Null ids
-    # have no smallest id, so their groups are told apart by fingerprint.
-    own = F.lower(F.lpad(F.hex(fingerprint_udf(F.col(text_col))), 16, "0"))
-    again = rows.where("__wq_n > 1").drop("__wq_n").withColumn("__wq_own", own)
-    member = least.select(F.col("__wq_id").alias("__wq_k"), "__wq_fp")
-    again = again.join(member, F.col("__wq_id").eqNullSafe(F.col("__wq_k")) & (F.col("__wq_own") == F.col("__wq_fp")))
-    group = F.when(F.col("__wq_id").isNull(), F.col("__wq_own"))
-    one = again.withColumn("__wq_group", group).dropDuplicates(["__wq_id", "__wq_group"])
-    return single.unionByName(one.select(docs.columns))
+    found, _ = written(grouped(docs, id_col, text_col).toDF("__wq_id", "__wq_fp", "__wq_root", "__wq_comp"), "groups")
+    stays = F.col("__wq_id").eqNullSafe(F.col("__wq_comp"))
+    repeated = found.groupBy("__wq_id").agg(F.count("*").alias("n")).where("n > 1").select("__wq_id")
+    gone, _ = written(found.where(~stays).select("__wq_id").unionByName(repeated).distinct(), "removed")
+    same = F.col(id_col).eqNullSafe(F.col("__wq_id"))
+    kept = docs.join(gone, same, "left_anti")
+    repeated, _ = written(repeated, "repeated")
+    if not repeated.take(1):
+        return kept
+    # Rows with repeated ids: looked up by id and fingerprint, one for each group whose smallest id it is.
+    again = docs.join(repeated, same, "left_semi").withColumn("__wq_own", fingerprint_udf(F.col(text_col)))
+    member = found.where(stays).select("__wq_id", "__wq_fp", "__wq_root").distinct()
+    again = again.join(member, same & (F.col("__wq_own") == F.col("__wq_fp"))).dropDuplicates(["__wq_id", "__wq_root"])
+    return kept.unionByName(again.select(docs.columns))
