@@ -74,10 +74,9 @@ def test_plain_split_equals_unicode_split():
 
 
 def test_memo_keeps_what_is_in_use():
-    m = token_count.Memo(20)
+    asked = []
+    m = token_count.Memo(20, lambda w: asked.append(w) or len(w))
     for i in range(1000):
-        m.keep(f"w{i}", i)
-        assert (m.get("hot") or m.find("hot")) == (7 if i else None)
-        if not i:
-            m.keep("hot", 7)
-    assert len(m) + len(m.old) <= 20
+        assert m["hot"] == 3 and m[f"word{i}"] == len(f"word{i}")
+        assert len(m) + len(m.old) <= 20
+    assert asked.count("hot") == 1 and m["x" * 100] == 100 and "x" * 100 not in m

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .token_count import MEMO_LEN, PLAIN, Memo, plain_splitter
+from .token_count import PLAIN, Memo, plain_splitter
 
 END_BYTE = b"\n"
 MEMO = 500_000  # pre-tokens a worker keeps at most
@@ -128,35 +128,20 @@ class WordEncoder:
         self.code = {"<u2": "H", "<u4": "I"}[dtype]
         if sys.byteorder != "little":
             raise NotImplementedError("records are little-endian")
-        self.memo = Memo(MEMO)
+        self.memo = Memo(MEMO, self.encoded)
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def encoded(self, word: str) -> bytes:
+        return array(self.code, self.library.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if PLAIN.search(text) or any(s in text for s in self.specials):
             return self.whole(text)
-        words, memo = self.split(text), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        own: dict[str, bytes] = {}
-        new, back = [], []
-        for w in dict.fromkeys(words):
-            got = memo.get(w)
-            if got is None:
-                got = memo.old.get(w)
-                (back if got is not None else new).append(w)
-            own[w] = got
-        if new:
-            own.update(zip(new, (array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
-        for w in (*back, *new):
-            if len(w) <= MEMO_LEN:
-                memo.keep(w, own[w])
-        return b"".join([own[w] for w in words])
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}

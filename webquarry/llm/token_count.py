@@ -31,29 +31,34 @@ PLAIN = re.compile(f"[^\x00-\x1b\x20-\xb1´-¸»¿×÷º{LETTERS}‐-‧‰-⁞
 
 def plain_splitter(pattern: str):
     """findall for plain texts: the pattern with Python's own classes in place of \\p{L} and \\p{N}, which agree on them."""
+    contraction, letters = r"'s|'t|'re|'ve|'m|'ll|'d|", r" ?\p{L}+|"
+    if pattern.startswith(contraction + letters):  # words first: they are most of a text, and no word starts with a quote
+        pattern = letters + contraction + pattern[len(contraction + letters) :]
     own = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s0-9{LETTERS}]").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
     return (regex if r"\p" in own else re).compile(own).findall
 
 
 class Memo(dict):
-    """A bounded memo: when the young half is full it becomes the old one, from which words in use come back."""
+    """A function's values, kept for at most ``bound`` short words: ``memo[word]`` computes what is not there.
 
-    def __init__(self, bound: int):
+    When the young half is full it becomes the old one, from which words in use come back.
+    """
+
+    def __init__(self, bound: int, value):
         super().__init__()
-        self.half, self.old = bound // 2, {}
+        self.half, self.old, self.value = bound // 2, {}, value
 
-    def find(self, word: str):
+    def __missing__(self, word: str):
         value = self.old.get(word)
-        if value is not None:
-            self.keep(word, value)
+        if value is None:
+            value = self.value(word)
+        if len(word) <= MEMO_LEN:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[word] = value
         return value
 
-    def keep(self, word: str, value) -> None:
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        self[word] = value
-
 
 def byte_symbols() -> list[str]:
     """The printable stand-in for each byte in byte-level vocabularies."""
@@ -87,7 +92,7 @@ class BytePairCounter:
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.split = plain_splitter(pattern)
-        self.memo = Memo(MEMO)
+        self.memo = Memo(MEMO, self.merged)
         self.library = None
 
     def merged(self, word: str) -> int:
@@ -143,15 +148,8 @@ class BytePairCounter:
         if self.special and self.special.search(text):
             parts = self.special.split(text)
             total = len(parts) - 1
-        memo = self.memo
         for part in parts:
-            for word in self.pieces(part):
-                n = memo.get(word) or memo.find(word)
-                if n is None:
-                    n = self.merged(word)
-                    if len(word) <= MEMO_LEN:
-                        memo.keep(word, n)
-                total += n
+            total += sum(map(self.memo.__getitem__, self.pieces(part)))
         return total
 
 
