@@ -300,8 +300,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def with_language(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those the model rejects: ``und``, or no language holds ``min_score`` of the words."""
+def with_language(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without those the model rejects: ``und``, or no language holds ``min_score`` of the words.
+
+    The bar is low on purpose: code-switched texts share their words among languages and stay.
+    """
     predicted = predictor(docs.sparkSession, train(docs, id_col, text_col, lang_col))
     marked = docs.withColumn("__wq_lang", predicted(F.col(text_col)))
     return marked.where((F.col("__wq_lang.lang") != UNKNOWN) & (F.col("__wq_lang.score") >= min_score)).select([F.col(c) for c in docs.columns])

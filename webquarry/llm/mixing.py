@@ -23,6 +23,7 @@ from .common import written
 BLOCK_TOKENS = 1 << 17
 MAX_BLOCKS = 1 << 14  # of a source
 MAX_SOURCES = 100_000
+BROADCAST_BLOCKS = 200_000  # rows of some 40 bytes; beyond, blocks are joined shuffled
 SEED = 17
 
 
@@ -97,58 +98,89 @@ def plan(tokens: dict, budget: int | None, target: float | None, repeats: float
     return a, rows
 
 
+def _hash(id_col: str, text_col: str) -> Column:
+    """Tells rows apart, but for rows that repeat id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def _block(seed: int, h: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), h), blocks).cast("int")
+
+
+class Mix:
+    """The plan of one mix: sources (at most MAX_SOURCES rows), blocks, and the rows' uses."""
+
+    def __init__(self, docs: DataFrame, budget: int | None, target: float | None, repeats: float | None, seed: int, id_col: str, text_col: str, source_col: str):
+        spark = docs.sparkSession
+        self.seed = seed
+        slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _hash(id_col, text_col).alias("h"), token_measure(F.col(text_col)).alias("n_tokens"))
+        slim = slim.withColumn("copy", F.row_number().over(Window.partitionBy("h", "source").orderBy("n_tokens")))
+        slim, _ = written(slim, "mix-rows")
+        per = slim.groupBy("source").agg(F.sum("n_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
+        if len(per) > MAX_SOURCES:
+            raise ValueError(f"over {MAX_SOURCES} sources: group them before mixing")
+        self.exponent, rows = plan({r["source"]: r["t"] for r in per}, budget, target, repeats)
+        self.sources = spark.createDataFrame(rows, "s string, weight double, quota long, epochs long, rest long, blocks int")
+        dealt = slim.join(F.broadcast(self.sources), F.col("source").eqNullSafe(F.col("s"))).drop("s", "quota")
+        self.rows = dealt.withColumn("block", _block(seed, F.col("h"), F.col("blocks"))).drop("blocks")
+        blocks = self.rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
+        in_part = Window.partitionBy("source").orderBy(self.turn("epochs", "source", "block"), "block")
+        before = F.sum("t").over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t")
+        take = F.least(F.greatest(F.col("rest") - before, F.lit(0)), F.col("t"))
+        self.blocks, _ = written(blocks.withColumn("take", take).select(F.col("source").alias("s"), F.col("block").alias("b"), "t", "epochs", "take"), "mix-blocks")
+
+    def turn(self, epoch: str, source: str, block: str) -> Column:
+        """The order of blocks in an epoch."""
+        return F.xxhash64(F.lit(self.seed), epoch, source, block)
+
+    def of_block(self) -> Column:
+        return F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+
+    def used(self, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+        """The rows in their blocks' epochs, in each epoch's order, the part epoch cut to its budget."""
+        last = F.when(F.col("take") > 0, F.col("epochs")).otherwise(F.col("epochs") - 1)
+        uses = blocks.where(last >= 0).select("s", "b", "take", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("epoch"))
+        uses = uses.withColumn("block_rank", F.row_number().over(Window.partitionBy("s", "epoch").orderBy(self.turn("epoch", "s", "b"), "b")) - 1)
+        rows = rows.join(uses, self.of_block()).drop("s", "b")
+        own = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(self.seed), "epoch", "h", "copy"), "h", "copy", "n_tokens")
+        placed = rows.withColumn("position", F.row_number().over(own) - 1).withColumn("upto", F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        return placed.where((F.col("epoch") < F.col("epochs")) | (F.col("upto") <= F.col("take")))
+
+
 def mix(docs: DataFrame, budget: int | None = None, target: float | None = 0.95, repeats: float | None = 2.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix, one row for each use of a document.
 
     Columns: ``doc_id``, ``source``, ``n_tokens``, ``copy`` (number among rows that repeat id, source and
-    length), ``epoch``, ``block``, ``block_rank`` (order of blocks in the epoch), ``position`` (in the block),
+    text), ``epoch``, ``block``, ``block_rank`` (order of blocks in the epoch), ``position`` (in the block),
     ``weight``, ``exponent``. budget defaults to all tokens. A null source is a source of its own;
     null or empty texts have 0 tokens and come once in each whole epoch; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_measure(F.col(text_col)).alias("n_tokens"))
-    slim = slim.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "n_tokens").orderBy(F.lit(0))))
-    slim, _ = written(slim, "mix-rows")
-    per = slim.groupBy("source").agg(F.sum("n_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources: group them before mixing")
-    exponent, rows = plan({r["source"]: r["t"] for r in per}, budget, target, repeats)
-    schema = "s string, weight double, quota long, epochs long, rest long, blocks int"
-    sources = F.broadcast(spark.createDataFrame(rows, schema))  # at most MAX_SOURCES rows
-    dealt = slim.join(sources, F.col("source").cast("string").eqNullSafe(F.col("s"))).drop("s", "quota")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "copy"), F.col("blocks")).cast("int")).drop("blocks")
-
-    last = F.col("epochs")
-    turn = lambda e: F.xxhash64(F.lit(seed), e, "source", "block")  # noqa: E731  order of blocks in epoch e
-    blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
-    in_part = Window.partitionBy("source").orderBy(turn(last), "block")
-    before = F.sum("t").over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t")
-    blocks = blocks.withColumn("take", F.greatest(F.col("rest") - before, F.lit(0)))
-    span = F.when(F.col("take") > 0, last).otherwise(last - 1)
-    uses = blocks.where(span >= 0).select(F.col("source").alias("s"), F.col("block").alias("b"), "take", F.explode(F.sequence(F.lit(0).cast("long"), span)).alias("epoch"))
-    uses = uses.withColumn("block_rank", F.row_number().over(Window.partitionBy("s", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "s", "b"), "b")) - 1)
-    used = dealt.join(uses, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-    own = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "doc_id", "copy"), "doc_id", "copy", "n_tokens")
-    placed = used.withColumn("position", F.row_number().over(own) - 1).withColumn("upto", F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    kept = placed.where((F.col("epoch") < F.col("epochs")) | (F.col("upto") <= F.col("take")))
-    return kept.select("doc_id", "source", "n_tokens", "copy", "epoch", "block", "block_rank", "position", "weight", F.lit(exponent).alias("exponent"))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
-    """``docs`` in the mix: every row as often as the mix uses it, all columns kept."""
-    used = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
-    used = used.groupBy("doc_id", "source", "n_tokens", "copy").agg(F.count("*").cast("int").alias("uses"))
-    used, _ = written(used.toDF("__wq_id", "__wq_source", "__wq_tokens", "__wq_copy", "__wq_uses"), "mix-uses")
-    rows = docs.withColumn("__wq_n", token_measure(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__wq_id")) & F.col(source_col).eqNullSafe(F.col("__wq_source")) & (F.col("__wq_n") == F.col("__wq_tokens"))
-    several = docs.select(F.col(id_col).alias("__wq_k")).groupBy("__wq_k").count().where("count > 1").drop("count")
-    out = docs.columns
-    each = F.explode(F.sequence(F.lit(1), F.col("__wq_uses"))).alias("__wq_use")
-    if not several.take(1):
-        return rows.join(used, same).select(*out, each).select(out)
-    several, _ = written(several, "mix-repeated")
-    alone = rows.join(several, F.col(id_col).eqNullSafe(F.col("__wq_k")), "left_anti")
-    repeated = rows.join(several, F.col(id_col).eqNullSafe(F.col("__wq_k")), "left_semi")
-    repeated = repeated.withColumn("__wq_c", F.row_number().over(Window.partitionBy(id_col, source_col, "__wq_n").orderBy(F.lit(0))))
-    first = alone.join(used, same).select(*out, each).select(out)
-    return first.unionByName(repeated.join(used, same & (F.col("__wq_c") == F.col("__wq_copy"))).select(*out, each).select(out))
+    m = Mix(docs, budget, target, repeats, seed, id_col, text_col, source_col)
+    return m.used(m.rows, m.blocks).select("doc_id", "source", "n_tokens", "copy", "epoch", "block", "block_rank", "position", "weight", F.lit(m.exponent).alias("exponent"))
+
+
+def mixed(docs: DataFrame, budget: int | None = None, target: float | None = 0.95, repeats: float | None = 2.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` in the mix: every row as often as ``mix`` uses it, all columns kept.
+
+    A block that the part epoch takes whole or not at all settles its documents where they lie;
+    only the blocks that are cut (at most one a source) are joined with their chosen documents.
+    """
+    m = Mix(docs, budget, target, repeats, seed, id_col, text_col, source_col)
+    own = lambda df: df.select(*[F.col(c).alias(f"__wq_{c}") for c in df.columns])
+    source = F.col(source_col).cast("string")
+    rows = docs.withColumn("__wq_key", _hash(id_col, text_col)).join(F.broadcast(own(m.sources.select("s", "blocks"))), source.eqNullSafe(F.col("__wq_s"))).drop("__wq_s")
+    rows = rows.withColumn("__wq_block", _block(seed, F.col("__wq_key"), F.col("__wq_blocks"))).drop("__wq_blocks")
+    blocks = m.blocks.select("s", "b", "epochs", (F.col("take") == F.col("t")).alias("whole"), (F.col("take") > 0).alias("part"))
+    if m.blocks.count() <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    rows = rows.join(own(blocks), source.eqNullSafe(F.col("__wq_s")) & (F.col("__wq_block") == F.col("__wq_b")))
+    cut = F.col("__wq_part") & ~F.col("__wq_whole")
+    times = F.col("__wq_epochs") + F.col("__wq_part").cast("long")
+    settled = rows.where(~cut & (times > 0)).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("__wq_use")).drop("__wq_use")
+    cut_blocks = m.blocks.where("take > 0 AND take < t")
+    chosen = m.used(m.rows.join(F.broadcast(cut_blocks.select(F.col("s").alias("s2"), F.col("b").alias("b2"))), F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")), "left_semi"), cut_blocks)
+    chosen = own(chosen.groupBy("source", "h", "copy").agg(F.count("*").cast("long").alias("times")))
+    numbered = rows.where(cut).withColumn("__wq_n", F.row_number().over(Window.partitionBy("__wq_key", source_col).orderBy(F.lit(0))))
+    some = numbered.join(chosen, source.eqNullSafe(F.col("__wq_source")) & (F.col("__wq_key") == F.col("__wq_h")) & (F.col("__wq_n") == F.col("__wq_copy")))
+    some = some.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__wq_times"))).alias("__wq_use")).drop("__wq_use")
+    return settled.unionByName(some)
