@@ -43,6 +43,16 @@ def test_records_round_trip(spark, sf):
     assert got == want
 
 
+def test_shuffled_read_by_index(spark, sf, tmp_path):
+    df = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    path = records.write_records(df, f"{tmp_path}/r", PATH, public_tokenizers.PATTERN)
+    index = records.build_index(spark, path, f"{tmp_path}/i")
+    one, two = ([(r.doc_id, r.ids) for r in records.read_shuffled(spark, path, index, seed).collect()] for seed in (1, 2))
+    assert one != two and sorted(one) == sorted(two)
+    lib = Tokenizer.from_file(PATH)
+    assert dict(one) == {r.doc_id: [*lib.encode(r.text, add_special_tokens=False).ids, 0] for r in df.collect()}
+
+
 def test_records_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "b"), (2, None), (2, None), (1, "a")], "doc_id long, text string").selectExpr("*", "1 AS start", "'x' AS file")
     got = sorted(((r.start, r.doc_id, r.n_tokens) for r in records.encode_and_read(df, PATH, public_tokenizers.PATTERN).collect()))

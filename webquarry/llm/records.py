@@ -12,8 +12,8 @@ the order of document ids; records are in ascending id order in and across files
 Files are written through Spark's own file commit protocol (the frames travel as raw bytes of a
 text column; the end byte is the writer's line separator), so that any Hadoop file system
 works, a repeated task leaves no second copy, and nothing is written to local disks.
-The index (Parquet, own folder) holds for each record: file, offset, length, doc_id, n_ids and
-the file-local start; with it readers fetch records in any order.
+The index (Parquet, own folder) holds for each record: file, offset, length, doc_id, n_ids, the
+file-local start and a checksum of the ids; with it readers fetch records in any order.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .common import new_path
 from .token_count import PLAIN, Memo, plain_splitter
 
 END_BYTE = b"\n"
-MEMO = 500_000  # pre-tokens a worker keeps at most
+MEMO = 700_000  # pre-tokens a worker keeps at most
 ROWS = 500  # rows turned to Python objects at a time
 FILE_BYTES = 24 << 20  # text bytes that one file takes about
 _HEAD = struct.Struct("<QI")
@@ -78,32 +78,26 @@ def document_frame(doc_id: int | None, ids: bytes) -> bytes:
     return frame(_ID.pack(doc_id or 0, doc_id is None) + ids)
 
 
-def scan_offsets(name: str, data, width: int) -> list[tuple]:
-    """(file, offset, length, doc_id, n_ids, local_start) of each record, from lengths and ids alone."""
-    at, ids, rows = 0, 0, []
-    while at < len(data):
-        size, crc = _HEAD.unpack_from(data, at)
-        if masked(data[at : at + 8]) != crc:
-            raise DamagedRecord(f"{name}: length at {at}")
-        doc, none = _ID.unpack_from(data, at + _HEAD.size)
-        n = (size - _ID.size) // width
-        rows.append((name, at, _HEAD.size + size + 5, None if none else doc, n, ids))
-        at += _HEAD.size + size + 5
-        ids += n
-    return rows
-
-
 def scan_records(name: str, data: bytes, dtype: str) -> list[tuple]:
-    """(file, offset, n_tokens, ids_crc32) of each record, both checksums verified."""
-    at, rows = 0, []
+    """(file, offset, length, doc_id, n_ids, local_start, ids_crc32) of each record, both checksums verified."""
+    at, start, rows = 0, 0, []
     while at < len(data):
         payload, after = unframe(data, at)
+        doc, none = _ID.unpack_from(payload)
         ids = np.frombuffer(payload, dtype=dtype, offset=_ID.size).astype("<u4")
-        rows.append((name, at, len(ids), zlib.crc32(ids.tobytes())))
+        rows.append((name, at, after - at, None if none else doc, len(ids), start, zlib.crc32(ids)))
         at = after
+        start += len(ids)
     return rows
 
 
+def fetch_record(data: bytes, offset: int, dtype: str) -> tuple[int | None, np.ndarray]:
+    """(doc_id, ids) of the record at an index entry's offset."""
+    payload, _ = unframe(data, offset)
+    doc, none = _ID.unpack_from(payload)
+    return None if none else doc, np.frombuffer(payload, dtype=dtype, offset=_ID.size)
+
+
 def as_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     """Columns of strings (the first) and longs."""
     kinds = [pa.string(), *[pa.int64()] * (len(names) - 1)]
@@ -184,44 +178,52 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
-def build_index(spark: SparkSession, path: str, index_path: str, dtype: str = "<u2") -> DataFrame:
-    """Write the offset index of the record files at ``path`` and return it."""
-    width = np.dtype(dtype).itemsize
-
-    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if rows := scan_offsets(name, memoryview(data.as_buffer()), width):
-                    yield as_batch(rows, ["file", "offset", "length", "doc_id", "n_ids", "local_start"])
-
-    schema = "file string, offset long, length long, doc_id long, n_ids long, local_start long"
-    _files(spark, path).mapInArrow(offsets, schema).write.parquet(index_path)
-    return spark.read.schema(schema).parquet(index_path)
+INDEX = "file string, offset long, length long, doc_id long, n_ids long, local_start long, ids_crc32 long"
 
 
-def read_records(spark: SparkSession, path: str, index: DataFrame, dtype: str = "<u2") -> DataFrame:
-    """Read every record back through the index: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
+def build_index(spark: SparkSession, path: str, index_path: str, dtype: str = "<u2") -> DataFrame:
+    """Read the record files at ``path`` back, write their offset index, and return it.
 
-    start counts the ids of all records before; both checksums of each record are verified, and
-    a damaged record raises DamagedRecord.
+    Both checksums of every record are verified; a damaged record raises DamagedRecord. The index also holds
+    the CRC-32 of each record's ids as u32, so that shuffled readers can check what they decode.
     """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if rows := scan_records(name, data.as_buffer().to_pybytes(), dtype):
-                    yield as_batch(rows, ["file", "offset", "n_tokens", "ids_crc32"])
+                    yield as_batch(rows, [c.split()[0] for c in INDEX.split(", ")])
+
+    _files(spark, path).mapInArrow(records, INDEX).write.parquet(index_path)
+    return spark.read.schema(INDEX).parquet(index_path)
 
-    read = _files(spark, path).mapInArrow(records, "file string, offset long, n_tokens long, ids_crc32 long")
-    # One row for each file, so small that a window over all of them stays bounded by the number of files.
+
+def placed(index: DataFrame) -> DataFrame:
+    """``doc_id``, ``start`` (ids of all records before), ``n_tokens``, ``ids_crc32`` of each record."""
+    # One row for each file, so few that a window over all of them stays small.
     totals = index.groupBy("file").agg(F.sum("n_ids").alias("n"))
     before = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
-    placed = index.join(before, "file").select("file", "offset", "doc_id", (F.col("base") + F.col("local_start")).alias("start"))
-    return placed.join(read, ["file", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return index.join(before, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")
+
+
+def read_shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int, dtype: str = "<u2") -> DataFrame:
+    """``file``, ``doc_id``, ``ids`` of all records, by their offsets, in an order drawn from the seed within each file."""
+    order = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "offset").alias("h"), "offset")))
+    wanted = index.groupBy("file").agg(order.alias("o")).select("file", F.transform("o", lambda x: x["offset"]).alias("offsets"))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data, offsets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                data = data.as_buffer().to_pybytes()
+                for at in range(0, len(offsets), ROWS):
+                    got = [fetch_record(data, o, dtype) for o in offsets[at : at + ROWS]]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(got)), pa.array([d for d, _ in got], pa.int64()), pa.array([i.tolist() for _, i in got], pa.list_(pa.int64()))], names=["file", "doc_id", "ids"])
+
+    return _files(spark, path).join(wanted, "file").select("file", "content", "offsets").mapInArrow(records, "file string, doc_id long, ids array<long>")
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str, pattern: str, **kw) -> DataFrame:
-    """Write record files and their index in the shared folder, then read all records back."""
+    """Write record files in the shared folder, read them back into their index, and return each record's place."""
     spark = docs.sparkSession
     path = write_records(docs, new_path(spark, "records"), tokenizer, pattern, **kw)
-    return read_records(spark, path, build_index(spark, path, new_path(spark, "records-index")))
+    return placed(build_index(spark, path, new_path(spark, "records-index")))
