@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _WS = "(?U)\\s+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it; keeps plans small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """White space runs to one space, ends trimmed."""
     return F.trim(F.regexp_replace(c, _WS, " "))
@@ -19,8 +24,8 @@ def strip(c: Column) -> Column:
 
 def snippet(c: Column, most: int = 140) -> Column:
     """Squeezed text of at most ``most`` characters; longer text ends in three dots. Null gives ''."""
-    s = squeeze(F.coalesce(c, F.lit("")))
-    return F.when(F.length(s) <= most, s).otherwise(F.concat(F.substring(s, 1, most - 3), F.lit("...")))
+    cut = lambda s: F.when(F.length(s) <= most, s).otherwise(F.concat(F.substring(s, 1, most - 3), F.lit("...")))
+    return let(squeeze(F.coalesce(c, F.lit(""))), cut)
 
 
 def samples(items: Column, most: int, count: int = 3) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import strip
+from .text import let, strip
 
 # Query parameters that only track visitors.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid", "mc_eid", "_ga", "_gl", "ref", "source")
@@ -63,16 +63,18 @@ def normal_query(query: Column, drop=TRACKING) -> Column:
 def normalize(url: Column, drop=TRACKING) -> Column:
     """Canonical form: https:// where no scheme stands, lower-case scheme and authority, no default port, no fragment, single
     slashes, no tracking parameters, parameters sorted by key. '' stays ''; trailing slashes and www stay."""
-    u = ensure_scheme(url)
+    return F.when(url == "", "").otherwise(let(ensure_scheme(url), lambda u: _canonical(u, drop)))
+
+
+def _canonical(u: Column, drop) -> Column:
     s, full = scheme(u), part(u, 3)
     site = F.lower(part(u, 2))
     site = F.when((s == "http") & site.endswith(":80"), F.regexp_replace(site, ":80$", "")).when((s == "https") & site.endswith(":443"), F.regexp_replace(site, ":443$", "")).otherwise(site)
     params = F.regexp_extract(full, r"(;[^/]*)$", 1)
     p = F.regexp_replace(F.regexp_replace(full, r";[^/]*$", ""), "/+", "/")
     p = F.concat(F.when(p == "", "/").otherwise(p), F.when(params == ";", "").otherwise(params))
-    q = normal_query(part(u, 4), drop)
-    out = F.concat(s, F.lit("://"), site, p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-    return F.when(url == "", "").otherwise(out)
+    query = let(normal_query(part(u, 4), drop), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.concat(s, F.lit("://"), site, p, query)
 
 
 def same_site(a: Column, b: Column) -> Column:
