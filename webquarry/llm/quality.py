@@ -10,9 +10,11 @@ then scores every whole text.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from operator import eq
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .token_count import Memo
+
 FIT_DOCS = 6_000
 FIT_CHARS = 2_000
 HASH = 1 << 16
@@ -49,26 +53,44 @@ def _vote(value: float, good: float, bad: float) -> int:
 LABELLERS = ("symbols", "capitals", "digits", "exclamation", "repeated_lines", "word_runs", "distinct_words", "distinct_pairs", "word_length", "function_words", "length")
 
 
-def votes(text: str | None) -> tuple[int, ...]:
-    """One vote of each labeller on the whole text; a null or blank text only has a (bad) length."""
+class Measures(NamedTuple):
+    """What labellers and scorer both need of a whole text."""
+
+    words: list[str]
+    runs: float
+    pairs: float
+    lines: int
+    repeated: float
+
+
+def measured(text: str | None) -> Measures | None:
+    """None for a null or blank text."""
     words = (text or "").lower().split()
     if not words:
+        return None
+    n, lines = len(words), [x for x in text.split("\n") if x.strip()]
+    return Measures(words, sum(map(eq, words, words[1:])) / n, 1 - len(set(zip(words, words[1:]))) / n, len(lines), 1 - len(set(lines)) / max(1, len(lines)))
+
+
+def votes(text: str | None, m: Measures | None = None) -> tuple[int, ...]:
+    """One vote of each labeller on the whole text; a null or blank text only has a (bad) length."""
+    m = m or measured(text)
+    if m is None:
         return (ABSTAIN,) * (len(LABELLERS) - 1) + (BAD,)
-    count = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), minlength=256)
-    ink = max(1, int(count.sum() - count[_SPACE].sum()))
-    upper, letters = int(count[65:91].sum()), max(1, int(count[65:91].sum() + count[97:123].sum()))
-    lines = [x for x in text.split("\n") if x.strip()]
-    n = len(words)
-    runs = sum(map(eq, words, words[1:]))
+    words, n = m.words, len(m.words)
+    count = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), minlength=256).tolist()
+    ink = max(1, sum(count) - sum(count[c] for c in _SPACE))
+    upper = sum(count[65:91])
+    letters = max(1, upper + sum(count[97:123]))
     return (
-        _vote(count[_SYMBOLS].sum() / ink, 0.005, 0.03) if ink >= 40 else ABSTAIN,
+        _vote(sum(count[c] for c in _SYMBOLS) / ink, 0.005, 0.03) if ink >= 40 else ABSTAIN,
         _vote(upper / letters, 0.12, 0.3) if ink >= 40 else ABSTAIN,
-        _vote(count[48:58].sum() / ink, 0.03, 0.3) if ink >= 40 else ABSTAIN,
+        _vote(sum(count[48:58]) / ink, 0.03, 0.3) if ink >= 40 else ABSTAIN,
         _vote(count[33] / n, 0.05, 0.15) if n >= 5 else ABSTAIN,
-        _vote(1 - len(set(lines)) / len(lines), 0.1, 0.3) if len(lines) > 3 else ABSTAIN,
-        _vote(runs / n, 0.03, 0.1) if n >= 10 else ABSTAIN,
+        _vote(m.repeated, 0.1, 0.3) if m.lines > 3 else ABSTAIN,
+        _vote(m.runs, 0.03, 0.1) if n >= 10 else ABSTAIN,
         _vote(-len(set(words)) / n**0.8, -1.4, -0.8) if n >= 20 else ABSTAIN,
-        _vote(1 - len(set(zip(words, words[1:]))) / n, 0.2, 0.5) if n >= 20 else ABSTAIN,
+        _vote(m.pairs, 0.2, 0.5) if n >= 20 else ABSTAIN,
         _vote(abs(ink / n - 6.0), 3.0, 6.0) if n >= 5 else ABSTAIN,
         _vote(-sum(map(FUNCTION_WORDS.__contains__, words)) / n, -0.12, -0.05) if n >= 20 else ABSTAIN,
         GOOD if n >= 30 else ABSTAIN,
@@ -143,22 +165,30 @@ class LabelModel:
         return model
 
 
-def token_features(token: str) -> list[int]:
-    """Hashed features of a white-space token: its shape, its edges, its lower-case form."""
-    crc, mask = zlib.crc32, HASH - 1
-    shape = re.sub(r"(.)\1+", r"\1\1", re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "x", re.sub(r"[A-ZÀ-ÖØ-Þ]", "X", token))))
-    edge = re.sub(r"^[\w]+|[\w]+$", "w", token)
-    return [crc(x.encode("utf-8", "replace"), i) & mask for i, x in enumerate((shape, edge, token.lower(), token[-2:]))]
+def _feature(i: int, text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"), i) & (HASH - 1)
+
+
+_PLAIN_SHAPES = {s: (_feature(0, s), _feature(1, "w")) for s in ("x", "xx", "X", "Xx", "Xxx")}
+
+
+def token_features(token: str) -> tuple[int, int, int, int]:
+    """Hashed features of a white-space token: its shape, its edges, its lower-case form, its last two characters."""
+    if token.isalpha() and token.isascii() and (token.islower() or token[0].isupper() and (len(token) == 1 or token[1:].islower())):
+        n = len(token)  # plain words have one of five shapes
+        shape, edge = _PLAIN_SHAPES["x" * min(n, 2) if token.islower() else "X" + "x" * min(n - 1, 2)]
+    else:
+        drawn = re.sub(r"(.)\1+", r"\1\1", "".join(["X" if "A" <= c <= "Z" or "À" <= c <= "Þ" else "9" if c.isdecimal() else "x" if c.isalnum() else c for c in token]))
+        shape, edge = _feature(0, drawn), _feature(1, re.sub(r"^\w+|\w+$", "w", token))
+    return shape, edge, _feature(2, token.lower()), _feature(3, token[-2:])
 
 
 #: Features of the whole text that no single token shows: shares of repeated neighbours, pairs and lines.
 _TEXT_FEATURES = [zlib.crc32(x, 9) & (HASH - 1) for x in (b"runs", b"pairs", b"lines")]
 
 
-def text_features(text: str, tokens: list[str]) -> tuple[float, float, float]:
-    n = len(tokens)
-    lines = [x for x in text.split("\n") if x.strip()]
-    return sum(map(eq, tokens, tokens[1:])) / n, 1 - min(1.0, (len(set(zip(tokens, tokens[1:]))) + 1) / n), 1 - len(set(lines)) / len(lines)
+def text_features(m: Measures) -> tuple[float, float, float]:
+    return m.runs, max(0.0, m.pairs - 1 / len(m.words)), m.repeated
 
 
 class Scorer:
@@ -166,31 +196,25 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.memo: dict[str, float] = {}
+        self.table = weights.tolist()
+        self.memo = Memo(MEMO, self.token)
 
-    def __getstate__(self):
-        return {**self.__dict__, "memo": {}}
+    def __reduce__(self):
+        return Scorer, (self.weights, self.bias)
 
     def token(self, token: str) -> float:
-        return float(self.weights[token_features(token)].sum())
+        t = self.table
+        a, b, c, d = token_features(token)
+        return t[a] + t[b] + t[c] + t[d]
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, m: Measures | None = None) -> float:
         """0 to 1; 0 for a null or blank text."""
-        tokens = (text or "").split()
-        if not tokens:
+        m = m or measured(text)
+        if m is None:
             return 0.0
-        memo = self.memo
-        try:
-            total = sum(map(memo.__getitem__, tokens))
-        except KeyError:
-            own = {t: memo[t] if t in memo else self.token(t) for t in dict.fromkeys(tokens)}
-            total = sum(map(own.__getitem__, tokens))
-            if len(memo) + len(own) > MEMO:
-                memo.clear()
-            if len(own) <= MEMO:
-                memo.update(own)
-        x = self.bias + total / len(tokens) + float(np.dot(self.weights[_TEXT_FEATURES], text_features(text, tokens)))
-        return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
+        tokens = text.split()
+        x = self.bias + sum(map(self.memo.__getitem__, tokens)) / len(tokens) + sum(self.table[i] * v for i, v in zip(_TEXT_FEATURES, text_features(m)))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
     @classmethod
     def fit(cls, texts: list[str], target: np.ndarray) -> Scorer:
@@ -203,7 +227,7 @@ class Scorer:
             ids, n = np.unique(np.array([f for t in tokens for f in token_features(t)], dtype=np.int64), return_counts=True)
             rows.append(np.full(len(ids) + len(_TEXT_FEATURES), i))
             cols.append(np.concatenate([ids, _TEXT_FEATURES]))
-            vals.append(np.concatenate([n / len(tokens), text_features(text, tokens)]))
+            vals.append(np.concatenate([n / len(tokens), text_features(measured(text))]))
         if not rows:
             return cls(np.zeros(HASH), 0.0)
         r, c, x = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
@@ -266,7 +290,11 @@ def assess(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
 
 def assess_batch(texts: pa.Array, model: LabelModel, scorer: Scorer) -> pa.Array:
     rows = texts.to_pylist()
-    cast = [votes(t) for t in rows]
+    cast, scores = [], []
+    for t in rows:
+        m = measured(t)
+        cast.append(votes(t, m))
+        scores.append(scorer.score(t, m))
     p = model.posterior(np.array(cast, dtype=np.int64).reshape(-1, len(LABELLERS)))
     marks = ["".join("-+."[x] for x in v) for v in cast]
-    return pa.StructArray.from_arrays([pa.array(marks, pa.string()), pa.array(p, pa.float64()), pa.array([scorer.score(t) for t in rows], pa.float64())], names=["votes", "posterior", "score"])
+    return pa.StructArray.from_arrays([pa.array(marks, pa.string()), pa.array(p, pa.float64()), pa.array(scores, pa.float64())], names=["votes", "posterior", "score"])
