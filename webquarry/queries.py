@@ -1,7 +1,9 @@
 """Registered queries of the page analytics, and the DuckDB SQL that gives the same rows.
 
-Queries on ``pages`` or ``documents`` run over whole tables. Inputs that the tables lack (images, redirects,
-structured data) come as literal rows, the same on both sides.
+Queries on ``pages`` or ``documents`` run over whole tables, but for ``stem``, ``tokenize``, ``bm25_idf`` and
+``bm25_topk``: RE2 has no Unicode word boundary, so that their SQL takes the English ASCII rows without underscore, and
+they follow it. The same names with ``_all`` run over the whole table and have no SQL. Inputs that the tables lack
+(images, redirects, structured data) come as literal rows, the same on both sides.
 """
 
 from __future__ import annotations
@@ -321,36 +323,71 @@ _ASCII_SPARK = "lang = 'en' AND NOT text RLIKE '[^\\\\x00-\\\\x7F]' AND NOT cont
 _EXPANDED = f"r AS (SELECT doc_id, unnest({_TOK}) AS w FROM {_ASCII}), r1 AS (SELECT doc_id, w, {_STEM1} AS w1 FROM r), r2 AS (SELECT doc_id, w, {_STEM2} AS w2 FROM r1), r3 AS (SELECT doc_id, w, {_STEM3} AS s FROM r2), t AS (SELECT doc_id, w AS term FROM r3 UNION ALL SELECT doc_id, s FROM r3 WHERE s <> w)"
 
 
-@query("stem", f"WITH {_EXPANDED} SELECT DISTINCT w AS word, s AS stem FROM r3")
-def _(spark, d):
-    t = spark.read.parquet(f"{d}/documents.parquet").where(_ASCII_SPARK)
-    w = t.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"(?U){qf.TOKEN}"), F.lit(0))).alias("word")).where("length(word) > 1").distinct()
+def _documents(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def _stems(docs):
+    w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"(?U){qf.TOKEN}"), F.lit(0))).alias("word")).where("length(word) > 1").distinct()
     return w.select("word", qf.stem(F.col("word")).alias("stem"))
 
 
-@query("tokenize", f"WITH {_EXPANDED} SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY doc_id")
-def _(spark, d):
-    t = spark.read.parquet(f"{d}/documents.parquet").where(_ASCII_SPARK).select("doc_id", F.explode(qf.tokens(F.col("text"))).alias("term"))
+def _token_counts(docs):
+    t = docs.select("doc_id", F.explode(qf.tokens(F.col("text"))).alias("term"))
     return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.countDistinct("term").alias("terms"))
 
 
 _TERMS = ("the", "thion", "andre", "heat", "ingly")
 
 
-def _doc_index(spark, d):
-    return qa.Index(spark.read.parquet(f"{d}/documents.parquet").where(_ASCII_SPARK).select("doc_id", "text"), ["doc_id"])
+def _idf(docs):
+    return qa.Index(docs.select("doc_id", "text"), ["doc_id"]).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _topk(docs):
+    index = qa.Index(docs.select("doc_id", "text"), ["doc_id"])
+    asked = _values(docs.sparkSession, [(0, t) for t in _TERMS], "qid int, term string")
+    return index.scores(asked, ["qid"]).select("doc_id", F.round("base", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@query("stem", f"WITH {_EXPANDED} SELECT DISTINCT w AS word, s AS stem FROM r3")
+def _(spark, d):
+    return _stems(_documents(spark, d).where(_ASCII_SPARK))
+
+
+@query("tokenize", f"WITH {_EXPANDED} SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY doc_id")
+def _(spark, d):
+    return _token_counts(_documents(spark, d).where(_ASCII_SPARK))
 
 
 @query("bm25_idf", f"WITH {_EXPANDED}, n AS (SELECT count(*) AS n FROM {_ASCII}), f AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM f, n")
 def _(spark, d):
-    return _doc_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _idf(_documents(spark, d).where(_ASCII_SPARK))
 
 
 @query("bm25_topk", f"WITH {_EXPANDED}, n AS (SELECT count(*) AS n FROM {_ASCII}), l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY doc_id), a AS (SELECT sum(len) * 1.0 / max(n) AS avg_len FROM l, n), f AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term), p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ({_in(_TERMS)}) GROUP BY 1, 2) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.6 + 0.4 * len / avg_len))), 4) AS score FROM p JOIN f USING (term) JOIN l USING (doc_id), n, a GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10")
 def _(spark, d):
-    index = _doc_index(spark, d)
-    asked = _values(spark, [(0, t) for t in _TERMS], "qid int, term string")
-    return index.scores(asked, ["qid"]).select("doc_id", F.round("base", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+    return _topk(_documents(spark, d).where(_ASCII_SPARK))
+
+
+@query("stem_all")
+def _(spark, d):
+    return _stems(_documents(spark, d))
+
+
+@query("tokenize_all")
+def _(spark, d):
+    return _token_counts(_documents(spark, d))
+
+
+@query("bm25_idf_all")
+def _(spark, d):
+    return _idf(_documents(spark, d))
+
+
+@query("bm25_topk_all")
+def _(spark, d):
+    return _topk(_documents(spark, d))
 
 
 _ARTICLE = "regexp_extract(html, '(?s)<article>(.*)', 1)"
