@@ -72,3 +72,11 @@ def test_no_python_in_plan(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = d.leaks(docs, bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clean_rows_with_null_or_repeated_ids_stay(spark):
+    item = "a b c d e f g h i j k l m n"
+    rows = [(None, "x " + item), (None, "clean one"), (None, None), (1, item), (1, "clean two"), (1, item), (2, "clean one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = d.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)

@@ -51,14 +51,8 @@ def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
     return each.withColumn("h", h)
 
 
-def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """One row for each document and test item that leaked into it.
-
-    Columns: ``doc_id``, ``item_id``, ``matched`` (agreeing words of the best window),
-    ``window`` (its length), ``overlap`` (their ratio). Null or empty texts on either side match nothing;
-    items under six words hold no seed and match nothing; repeated documents or items give one row
-    for each id pair; other columns aren't read. Whole texts are scanned.
-    """
+def _found(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """doc_id, text_hash, item_id and the best window ``b`` (matched, window): one row for each text, id and item."""
     side = WINDOW - 1
     items = bench.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("t"))
     seeds = _seeds(items, ["item_id"]).where("h <> 0")
@@ -71,33 +65,45 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     seeds, _ = written(seeds, "seeds")
     few = seeds.count() <= broadcast_seeds
 
-    own = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("t"))
-    at = _seeds(own, ["doc_id"])
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("t"))
+    at = _seeds(own, ["doc_id", "text_hash"])
     here = [F.least("p", F.lit(side)).alias("dback"), F.slice("t", F.greatest(F.col("p") - side, F.lit(0)) + 1, F.lit(2 * side + 1)).alias("dctx")]
     if few:
-        hits = at.join(F.broadcast(seeds), "h").select("doc_id", "item_id", "n", "back", "ctx", *here)
+        hits = at.join(F.broadcast(seeds), "h").select("doc_id", "text_hash", "item_id", "n", "back", "ctx", *here)
     else:
-        hits = at.where("h <> 0").select("doc_id", "h", *here).join(seeds, "h").drop("h")
+        hits = at.where("h <> 0").select("doc_id", "text_hash", "h", *here).join(seeds, "h").drop("h")
     # A table between: the comparisons would otherwise move into the join's condition, which would then
     # copy a document's words for each of its positions.
     hits, _ = written(hits, "hits")
 
     # Agreement at each word of the item's context; beyond the document's ends nothing agrees.
     aligned = F.expr("transform(ctx, (w, k) -> if(coalesce(w = get(dctx, k - back + dback), false), 1, 0))")
-    hits = hits.select("doc_id", "item_id", F.least("n", F.lit(WINDOW)).alias("window"), aligned.alias("eq"))
+    hits = hits.select("doc_id", "text_hash", "item_id", F.least("n", F.lit(WINDOW)).alias("window"), aligned.alias("eq"))
     best = F.expr(
         "array_max(transform(sequence(0, size(eq) - window), s -> aggregate(slice(eq, s + 1, window), 0, (a, x) -> a + x)))"
     )
-    scored = hits.where(F.size("eq") >= F.col("window")).select("doc_id", "item_id", "window", best.alias("matched"))
+    scored = hits.where(F.size("eq") >= F.col("window")).select("doc_id", "text_hash", "item_id", "window", best.alias("matched"))
     kept = scored.where(F.col("matched") >= F.ceil(F.col("window") * similarity - 1e-9))
-    out = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "window")).alias("b"))
+    return kept.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("matched", "window")).alias("b"))
+
+
+def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """One row for each document and test item that leaked into it.
+
+    Columns: ``doc_id``, ``item_id``, ``matched`` (agreeing words of the best window),
+    ``window`` (its length), ``overlap`` (their ratio). Null or empty texts on either side match nothing;
+    items under six words hold no seed and match nothing; repeated documents or items give one row
+    for each id pair; other columns aren't read. Whole texts are scanned.
+    """
+    found = _found(docs, bench, id_col, text_col, item_id, item_text, similarity, broadcast_seeds)
+    out = found.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return out.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("b.window").cast("long").alias("window"), F.round(F.col("b.matched") / F.col("b.window"), 6).alias("overlap"))
 
 
 def without_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents into which a test item leaked; all columns and clean rows stay.
 
-    Documents are told apart by id; rows with a null id stay out only if some null-id row leaked.
+    Documents are told apart by id and text, so that a clean text stays whose id (or null) a leaked row repeats.
     """
-    found, _ = written(leaks(docs, bench, id_col, text_col).select(F.col("doc_id").alias("__wq_id")).distinct(), "leaked")
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("__wq_id")), "left_anti")
+    found, _ = written(_found(docs, bench, id_col, text_col).select(F.col("doc_id").alias("__wq_id"), F.col("text_hash").alias("__wq_hash")).distinct(), "leaked")
+    return docs.join(found, docs[id_col].eqNullSafe(F.col("__wq_id")) & (F.xxhash64(docs[text_col]) == F.col("__wq_hash")), "left_anti")
