@@ -83,6 +83,17 @@ def test_mix(spark, repeats, monkeypatch):
     assert Counter((r.doc_id, r.source) for r in out.collect()) == Counter((r.doc_id, r.source) for r in got)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_long_document_does_not_end_the_part_epoch(spark, seed):
+    rows = [(0, "w " * 300, "a")] + [(i, "w " * 10, "a" if i <= 30 else "b") for i in range(1, 91)]
+    df = spark.createDataFrame([(i, t.strip(), s) for i, t, s in rows], "doc_id long, text string, source string")
+    for budget, used in ((500, 250), (1700, 850)):  # under one epoch, and one and a part
+        got = mixing.mix(df, budget=budget, target=None, repeats=None, seed=seed).collect()
+        assert sum(r.n_tokens for r in got if r.source == "a") == used
+        same = mixing.mixed(df, budget=budget, target=None, repeats=None, seed=seed).collect()
+        assert Counter(r.doc_id for r in same) == Counter(r.doc_id for r in got)
+
+
 def test_mix_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0 and mixing.mixed(df).count() == 0

@@ -7,7 +7,8 @@ documents, and a last part epoch.
 
 Documents are dealt to blocks of a source by hash; every epoch puts the blocks and the documents in
 each block in an order of its own. The part epoch takes blocks in its order; the block that crosses the
-budget is taken up to the last document that fits. A hot source has many blocks, so that
+budget gives, in its order, every document that still fits; longer ones are skipped, so that a source misses
+its quota by less than the smallest document skipped. A hot source has many blocks, so that
 no window holds a large share of the rows.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +109,16 @@ def _block(seed: int, h: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), h), blocks).cast("int")
 
 
+def fitting(rows: pa.Table) -> pa.Table:
+    """The rows of one cut block, by position, that fit into what is left of ``take``."""
+    rows = rows.sort_by("position")
+    left, keep = rows["take"][0].as_py(), []
+    for n in rows["n_tokens"].to_pylist():
+        keep.append(n <= left)
+        left -= n if n <= left else 0
+    return rows.filter(pa.array(keep, pa.bool_()))
+
+
 class Mix:
     """The plan of one mix: sources (at most MAX_SOURCES rows), blocks, and the rows' uses."""
 
@@ -139,20 +151,25 @@ class Mix:
     def used(self, rows: DataFrame, blocks: DataFrame) -> DataFrame:
         """The rows in their blocks' epochs, in each epoch's order, the part epoch cut to its budget."""
         last = F.when(F.col("take") > 0, F.col("epochs")).otherwise(F.col("epochs") - 1)
-        uses = blocks.where(last >= 0).select("s", "b", "take", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("epoch"))
+        uses = blocks.where(last >= 0).select("s", "b", "t", "take", F.col("epochs").alias("whole"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("epoch"))
         uses = uses.withColumn("block_rank", F.row_number().over(Window.partitionBy("s", "epoch").orderBy(self.turn("epoch", "s", "b"), "b")) - 1)
-        rows = rows.join(uses, self.of_block()).drop("s", "b")
+        cut = (F.col("epoch") == F.col("whole")) & (F.col("take") < F.col("t"))
+        part = self.placed(rows, uses.where(cut))
+        return self.placed(rows, uses.where(~cut)).unionByName(part.groupBy("source", "block").applyInArrow(fitting, part.schema))
+
+    def placed(self, rows: DataFrame, uses: DataFrame) -> DataFrame:
+        """The rows in these uses of their blocks, each with its position in the block."""
+        rows = rows.join(uses.drop("t", "whole"), self.of_block()).drop("s", "b")
         own = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(self.seed), "epoch", "h", "copy"), "h", "copy", "n_tokens")
-        placed = rows.withColumn("position", F.row_number().over(own) - 1).withColumn("upto", F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        return placed.where((F.col("epoch") < F.col("epochs")) | (F.col("upto") <= F.col("take")))
+        return rows.withColumn("position", F.row_number().over(own) - 1)
 
 
 def mix(docs: DataFrame, budget: int | None = None, target: float | None = 0.95, repeats: float | None = 2.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix, one row for each use of a document.
 
     Columns: ``doc_id``, ``source``, ``n_tokens``, ``copy`` (number among rows that repeat id, source and
-    text), ``epoch``, ``block``, ``block_rank`` (order of blocks in the epoch), ``position`` (in the block),
-    ``weight``, ``exponent``. budget defaults to all tokens. A null source is a source of its own;
+    text), ``epoch``, ``block``, ``block_rank`` (order of blocks in the epoch), ``position`` (in the block,
+    skipped documents counted), ``weight`` (the planned share), ``exponent``. budget defaults to all tokens. A null source is a source of its own;
     null or empty texts have 0 tokens and come once in each whole epoch; an empty table gives no rows.
     """
     m = Mix(docs, budget, target, repeats, seed, id_col, text_col, source_col)
