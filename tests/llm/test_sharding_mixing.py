@@ -1,9 +1,11 @@
 import math
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
 
 from webquarry.llm import mixing, sharding
+from webquarry.llm.token_count import counter
 
 
 def check_shards(rows, shards):
@@ -99,3 +101,12 @@ def test_mix_empty(spark):
     assert mixing.mix(df).count() == 0 and mixing.mixed(df).count() == 0
     zero = spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")
     assert mixing.mix(zero).count() == 0
+
+
+def test_tokens_are_byte_bpe_tokens(spark):
+    run = "語" * 400
+    df = spark.createDataFrame([(1, run, "cjk"), (2, "w " * 10, "en"), (3, None, "en")], "doc_id long, text string, source string")
+    n = counter(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count
+    got = {r.doc_id: r for r in mixing.mix(df, target=None, repeats=None).collect()}
+    assert got[1].n_tokens == n(run) > 100 and got[2].n_tokens == n("w " * 10) and got[3].n_tokens == 0
+    assert got[1].weight == pytest.approx(n(run) / (n(run) + n("w " * 10)))

@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import math
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .token_count import count_udf
 
 BLOCK_TOKENS = 1 << 17
 MAX_BLOCKS = 1 << 14  # of a source
@@ -75,8 +77,8 @@ def temperature(tokens: list[int], budget: int, target: float | None, repeats: f
 
 
 def token_measure(text: Column) -> Column:
-    """Runs of characters other than ASCII white space; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
+    """Byte-BPE tokens as op3 counts them; 0 for null."""
+    return count_udf(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)(text)
 
 
 def plan(tokens: dict, budget: int | None, target: float | None, repeats: float | None) -> tuple[float, list[tuple]]:
