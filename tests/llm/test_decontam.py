@@ -80,3 +80,10 @@ def test_clean_rows_with_null_or_repeated_ids_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = d.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
+def test_short_verbatim_excerpts_of_long_items(spark):
+    item = [f"i{k}" for k in range(38)]
+    docs = [(10 * n + at % 7, " ".join(["x"] * 30 + item[at : at + n] + ["y"] * 30)) for n in (10, 11, 13, 15) for at in (0, 12, 38 - n)]
+    got = d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.matched, r.window) for r in got} == {i: (i // 10, i // 10) for i, _ in docs if i >= 110}

@@ -8,7 +8,7 @@ five, wherever the substitutions fall (checked exhaustively in the tests).
 Every document position gives one hash for each mask; they are equi-joined with the hashes of
 the test items. Around each hit the aligned words are compared, and the hit counts when some
 window of ``WINDOW`` words (the whole item, if shorter) around it agrees in ``SIMILARITY`` of
-its words. Only bounded slices of words travel with a hit.
+its words, or when ``EXACT`` consecutive words agree, however long the item is. Only bounded slices of words travel with a hit.
 
 The seeds of the test set are broadcast when their counted number is within
 ``BROADCAST_SEEDS``; beyond, the same join runs shuffled by hash on slim rows.
@@ -25,6 +25,7 @@ MASKS = ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8))
 SPANS = tuple(m[-1] + 1 for m in MASKS)
 WINDOW = 20
 SIMILARITY = 0.8
+EXACT = 11  # the shortest stretch that the masks are sure to hit
 BROADCAST_SEEDS = 300_000  # rows of about 200 bytes
 
 
@@ -84,6 +85,10 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     )
     scored = hits.where(F.size("eq") >= F.col("window")).select("doc_id", "text_hash", "item_id", "window", best.alias("matched"))
     kept = scored.where(F.col("matched") >= F.ceil(F.col("window") * similarity - 1e-9))
+    # The longest run of agreeing words; a hit lies in it, so that the context holds all of it up to a window.
+    run = F.array_max(F.transform(F.split(F.array_join("eq", ""), "0"), lambda r: F.length(r)))
+    exact = hits.where(F.array_join("eq", "").contains("1" * EXACT)).select("doc_id", "text_hash", "item_id", F.least(run, "window").alias("window"))
+    kept = kept.unionByName(exact.withColumn("matched", F.col("window")))
     return kept.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("matched", "window")).alias("b"))
 
 
@@ -91,7 +96,8 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     """One row for each document and test item that leaked into it.
 
     Columns: ``doc_id``, ``item_id``, ``matched`` (agreeing words of the best window),
-    ``window`` (its length), ``overlap`` (their ratio). Null or empty texts on either side match nothing;
+    ``window`` (its length), ``overlap`` (their ratio); for an excerpt of ``EXACT`` words or more that fills no
+    window, its own words. Null or empty texts on either side match nothing;
     items under six words hold no seed and match nothing; repeated documents or items give one row
     for each id pair; other columns aren't read. Whole texts are scanned.
     """
