@@ -15,7 +15,7 @@ SHARDS = 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no letter, or no language holds three tenths of the words."""
+    """Drop documents without a language: no letter, or words of no clear language."""
     return langid.with_language(docs)
 
 

@@ -61,3 +61,15 @@ def test_edges(spark):
     assert langid.identify(df.limit(0)).count() == 0
     none = langid.identify(df.selectExpr("doc_id", "text", "cast(NULL AS string) AS lang")).collect()
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
+
+
+def test_even_mix_of_four_languages_stays(spark, monkeypatch):
+    words = ["alpha", "bravo", "charlie", "delta"]
+    m = langid.Model(["a", "b", "c", "d"], {})
+    for k, w in enumerate(words):
+        m.emit[langid.features(w, {}), k] += 5
+    (lang, score, sure), nothing = m.predict([" ".join(words), None])
+    assert score < 0.3 and sure > 0.9 and nothing == ("und", 0.0, 0.0)
+    monkeypatch.setattr(langid, "train", lambda *a: m)
+    df = spark.createDataFrame([(1, " ".join(words), None), (2, "12", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.with_language(df).collect()] == [1]

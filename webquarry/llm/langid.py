@@ -135,9 +135,9 @@ class Model:
         out = forward[real]
         return out / out.sum(axis=1, keepdims=True)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, mean marginal) of each whole text; (und, 0) without a letter."""
-        out = [(UNKNOWN, 0.0)] * len(texts)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, its mean marginal, mean of each word's largest marginal) of each whole text; (und, 0, 0) without a letter."""
+        out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         if not self.labels:
             return out
         group, n = [], 0
@@ -156,10 +156,12 @@ class Model:
     def _run(self, group: list[tuple[int, list[str]]], out: list) -> None:
         lengths = np.array([len(w) for _, w in group], dtype=np.int64)
         emission = self.emissions([x for _, w in group for x in w])
-        mean = np.add.reduceat(self.marginals(emission, lengths), np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0) / lengths[:, None]
-        for (i, _), m in zip(group, mean):
+        words, starts = self.marginals(emission, lengths), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        mean = np.add.reduceat(words, starts, axis=0) / lengths[:, None]
+        sure = np.add.reduceat(words.max(axis=1), starts) / lengths
+        for (i, _), m, s in zip(group, mean, sure):
             k = int(m.argmax())
-            out[i] = (self.labels[k], min(1.0, float(m[k])))
+            out[i] = (self.labels[k], min(1.0, float(m[k])), min(1.0, float(s)))
 
 
 def _gradient(e: np.ndarray, step: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,14 +278,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predictor(spark, model: Model):
-    """A column function text -> struct(lang, score)."""
+    """A column function text -> struct(lang, score, sure)."""
     held = spark.sparkContext.broadcast(model)
-    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sure", T.DoubleType())])
 
     @F.arrow_udf(kind)
     def predicted(texts: pa.Array) -> pa.Array:
         got = held.value.predict(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["lang", "score"])
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.float64())], names=["lang", "score", "sure"])
 
     return predicted
 
@@ -301,10 +303,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def with_language(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those the model rejects: ``und``, or no language holds ``min_score`` of the words.
+    """``docs`` without those the model rejects: ``und``, or the words' largest marginals average under ``min_score``.
 
-    The bar is low on purpose: code-switched texts share their words among languages and stay.
+    Words are judged one by one, so that code-switched texts stay, among however many languages they share their words.
     """
     predicted = predictor(docs.sparkSession, train(docs, id_col, text_col, lang_col))
     marked = docs.withColumn("__wq_lang", predicted(F.col(text_col)))
-    return marked.where((F.col("__wq_lang.lang") != UNKNOWN) & (F.col("__wq_lang.score") >= min_score)).select([F.col(c) for c in docs.columns])
+    return marked.where((F.col("__wq_lang.lang") != UNKNOWN) & (F.col("__wq_lang.sure") >= min_score)).select([F.col(c) for c in docs.columns])
