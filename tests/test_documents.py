@@ -36,3 +36,11 @@ def test_whole_table_equals_brute_force(spark, tmp_path):
     want = sorted(((i, round(x, 4)) for i, x in score.items() if x > 0), key=lambda r: (-r[1], r[0]))[:10]
     assert [i for i, _ in want] == [r.doc_id for r in entry.queries()["bm25_topk_all"](spark, str(tmp_path)).collect()]
     assert run("bm25_topk_all") == sorted(want, key=str)
+
+
+def test_phones_of_all_patterns(spark, tmp_path):
+    rows = [(1, "call 212-555-1234 now"), (2, "98765 43210 or 9123456780"), (3, "+1 (743) 555-3824"), (4, "12345678901 and 555-1234"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["doc_phones"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, "212-555-1234", "2125551234"), (2, "9123456780", "9123456780"), (2, "98765 43210", "9876543210"), (3, "+1 (743) 555-3824", "17435553824")]
+    assert {"2125551234", "9876543210", "9123456780", "17435553824"} <= {r.normal for r in entry.queries()["phone_canonical"](spark, str(tmp_path)).collect()}

@@ -263,16 +263,23 @@ def _(spark, d):
     return _values(spark, _BRANDS, "title string, expected string").select("title", fn.title_brand(F.col("title")).alias("brand"))
 
 
+def _documents(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def _phones(text):
+    """Matches of all phone patterns. The last three have ten digits; the first is not bound to 15, as its SQL isn't."""
+    return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in identity.PHONE_PATTERNS])
+
+
 @query("doc_phones", "WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[+][0-9][0-9\\s().-]{7,}[0-9]')) AS raw FROM documents) SELECT doc_id, trim(raw) AS raw, regexp_replace(raw, '[^0-9]', '', 'g') AS normal FROM r")
 def _(spark, d):
-    raw = F.explode(F.regexp_extract_all("text", F.lit(identity.PHONE_PATTERNS[0]), F.lit(0))).alias("raw")
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", raw).select("doc_id", F.trim("raw").alias("raw"), fn.phone(F.col("raw")).alias("normal"))
+    return _documents(spark, d).select("doc_id", F.explode(_phones("text")).alias("raw")).select("doc_id", F.trim("raw").alias("raw"), fn.phone(F.col("raw")).alias("normal"))
 
 
 @query("phone_canonical", "WITH r AS (SELECT unnest(regexp_extract_all(text, '[+][0-9][0-9\\s().-]{7,}[0-9]')) AS raw FROM documents), v AS (SELECT DISTINCT regexp_replace(raw, '[^0-9]', '', 'g') AS normal FROM r UNION SELECT substr(regexp_replace(raw, '[^0-9]', '', 'g'), 2) FROM r) SELECT normal FROM v WHERE normal <> '' AND NOT EXISTS (SELECT 1 FROM v w WHERE length(w.normal) > length(v.normal) AND ends_with(w.normal, v.normal))")
 def _(spark, d):
-    raw = F.explode(F.regexp_extract_all("text", F.lit(identity.PHONE_PATTERNS[0]), F.lit(0))).alias("raw")
-    n = spark.read.parquet(f"{d}/documents.parquet").select(raw).select(fn.phone(F.col("raw")).alias("normal"))
+    n = _documents(spark, d).select(F.explode(_phones("text")).alias("raw")).select(fn.phone(F.col("raw")).alias("normal"))
     return identity.canonical_phones(n.union(n.select(F.substring("normal", 2, 100))), [])
 
 
@@ -323,10 +330,6 @@ _ASCII_SPARK = "lang = 'en' AND NOT text RLIKE '[^\\\\x00-\\\\x7F]' AND NOT cont
 _EXPANDED = f"r AS (SELECT doc_id, unnest({_TOK}) AS w FROM {_ASCII}), r1 AS (SELECT doc_id, w, {_STEM1} AS w1 FROM r), r2 AS (SELECT doc_id, w, {_STEM2} AS w2 FROM r1), r3 AS (SELECT doc_id, w, {_STEM3} AS s FROM r2), t AS (SELECT doc_id, w AS term FROM r3 UNION ALL SELECT doc_id, s FROM r3 WHERE s <> w)"
 
 
-def _documents(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet")
-
-
 def _stems(docs):
     w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"(?U){qf.TOKEN}"), F.lit(0))).alias("word")).where("length(word) > 1").distinct()
     return w.select("word", qf.stem(F.col("word")).alias("stem"))
