@@ -60,6 +60,28 @@ def test_records_nulls_repeats_and_empty(spark):
     assert records.encode_and_read(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_many_rows_of_one_id_are_split(spark, monkeypatch):
+    monkeypatch.setattr(records, "FILE_BYTES", 2_000)
+    monkeypatch.setattr(records, "TASKS", 3)
+    rows = [(None if i % 3 else 7, f"text {i} " + "x y " * (i % 11)) for i in range(300)] + [(None, None)] * 40 + [(9, "long " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = records.write_records(df, records.new_path(spark, "records"), PATH, public_tokenizers.PATTERN)
+    index = records.build_index(spark, path, records.new_path(spark, "records-index"))
+    per = index.groupBy("file").count().collect()
+    assert len(per) > 6 and max(r["count"] for r in per) < 50
+    got = sorted((r.start, r.n_tokens, -1 if r.doc_id is None else r.doc_id) for r in records.placed(index).collect())
+    assert [g[2] for g in got] == sorted(-1 if i is None else i for i, _ in rows)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:])) and got[0][0] == 0
+    lib = Tokenizer.from_file(PATH)
+    assert sorted(g[1] for g in got) == sorted(1 + len(lib.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
+
+
+def test_files_are_ordered_by_number(spark):
+    names = ["part-99999-u-c001.txt", "part-100000-u-c000.txt", "part-00002-u-c000.txt", "part-99999-u-c000.txt", "part-99999-u-c1000.txt"]
+    index = spark.createDataFrame([(n, 0, 1, i, 10 ** i, 0, 0) for i, n in enumerate(names)], records.INDEX)
+    assert {r.doc_id: r.start for r in records.placed(index).collect()} == {2: 0, 3: 100, 0: 1100, 4: 1101, 1: 11101}
+
+
 def test_damage_is_found():
     data = records.frame(b"payload") + records.END_BYTE
     assert records.unframe(data) == (b"payload", len(data))

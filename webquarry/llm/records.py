@@ -6,8 +6,8 @@ File format, one record after another, little-endian:
 
 payload = i64 document id, u8 id-is-null flag, then the token ids as u16 (vocabularies up to
 65,536) or u32, as the file set's ``dtype`` says. CRC is CRC-32 (zlib), masked as
-rotate-right-15 plus 0xA282EAD8 so that a CRC over data holding CRCs stays sound. Files are named in
-the order of document ids; records are in ascending id order in and across files.
+rotate-right-15 plus 0xA282EAD8 so that a CRC over data holding CRCs stays sound. The numbers in the files'
+names follow the document ids; records are in ascending id order in and across files.
 
 Files are written through Spark's own file commit protocol (the frames travel as raw bytes of a
 text column; the end byte is the writer's line separator), so that any Hadoop file system
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
@@ -37,6 +37,7 @@ END_BYTE = b"\n"
 MEMO = 700_000  # pre-tokens a worker keeps at most
 ROWS = 500  # rows turned to Python objects at a time
 FILE_BYTES = 24 << 20  # text bytes that one file takes about
+TASKS = 20_000  # writing tasks at most; beyond, a task writes several files
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<qB")
 _CRC = struct.Struct("<I")
@@ -150,11 +151,13 @@ def encoder(*key: str) -> WordEncoder:
 def write_records(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every whole text, append ``end_id`` and write record files under ``path``; returns ``path``.
 
-    Null and empty texts give a record that holds the end id alone. Null ids sort first.
-    One shuffle: a range partition by id, so that files follow the ids' order.
+    Null and empty texts give a record that holds the end id alone. Null ids sort first; rows of one id
+    lie in the order of their texts' hashes, so that an id that many rows share is split over tasks.
+    One shuffle: a range partition by id, so that files follow the ids' order (see ``placed``). A file
+    takes a bounded number of records, whatever rows its task gets.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total, rows = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     files = max(1, -(-total // FILE_BYTES))
     tail = np.array([end_id], dtype=dtype).tobytes()
 
@@ -167,9 +170,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_
                 out = [document_frame(k, ids(t) + tail) for k, t in zip(keys, texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    ordered = slim.repartitionByRange(int(files), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
-    frames = ordered.mapInArrow(encoded, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", END_BYTE.decode()).text(path)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = slim.repartitionByRange(int(min(files, TASKS)), *order).sortWithinPartitions(*order, F.col("text"))
+    frames = ordered.mapInArrow(encoded, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    frames.write.option("lineSep", END_BYTE.decode()).option("maxRecordsPerFile", 2 * max(1, -(-rows // files))).text(path)
     return path
 
 
@@ -198,11 +202,18 @@ def build_index(spark: SparkSession, path: str, index_path: str, dtype: str = "<
     return spark.read.schema(INDEX).parquet(index_path)
 
 
+def file_order(file: Column) -> tuple[Column, Column]:
+    """A file name's task number and its number among that task's files; names alone don't sort past 99,999."""
+    return tuple(F.regexp_extract(file, p, 1).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)"))
+
+
 def placed(index: DataFrame) -> DataFrame:
     """``doc_id``, ``start`` (ids of all records before), ``n_tokens``, ``ids_crc32`` of each record."""
-    # One row for each file, so few that a window over all of them stays small.
-    totals = index.groupBy("file").agg(F.sum("n_ids").alias("n"))
-    before = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
+    part, turn = file_order(F.col("file"))
+    totals = index.groupBy("file").agg(F.sum("n_ids").alias("n")).select("file", "n", part.alias("part"), turn.alias("turn"))
+    # A row for each writing task, at most TASKS of them: the only window that isn't partitioned.
+    tasks = totals.groupBy("part").agg(F.sum("n").alias("of_part")).withColumn("parts_before", F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part"))
+    before = totals.join(tasks, "part").select("file", (F.col("parts_before") + F.sum("n").over(Window.partitionBy("part").orderBy("turn")) - F.col("n")).alias("base"))
     return index.join(before, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 
