@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -34,7 +35,7 @@ def test_records_round_trip(spark, sf):
     rows = texts(spark, sf)
     keyed = [(i * 37 % 1009, t) for i, t in enumerate(rows)]
     df = spark.createDataFrame(keyed, "doc_id long, text string")
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in records.encode_and_read(df, PATH, public_tokenizers.PATTERN).collect())
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in records.encode_and_read(df, PATH).collect())
     at, want = 0, []
     for d, t in sorted(keyed, key=lambda x: x[0]):
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -45,7 +46,7 @@ def test_records_round_trip(spark, sf):
 
 def test_shuffled_read_by_index(spark, sf, tmp_path):
     df = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
-    path = records.write_records(df, f"{tmp_path}/r", PATH, public_tokenizers.PATTERN)
+    path = records.write_records(df, f"{tmp_path}/r", PATH)
     index = records.build_index(spark, path, f"{tmp_path}/i")
     one, two = ([(r.doc_id, r.ids) for r in records.read_shuffled(spark, path, index, seed).collect()] for seed in (1, 2))
     assert one != two and sorted(one) == sorted(two)
@@ -55,9 +56,9 @@ def test_shuffled_read_by_index(spark, sf, tmp_path):
 
 def test_records_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "b"), (2, None), (2, None), (1, "a")], "doc_id long, text string").selectExpr("*", "1 AS start", "'x' AS file")
-    got = sorted(((r.start, r.doc_id, r.n_tokens) for r in records.encode_and_read(df, PATH, public_tokenizers.PATTERN).collect()))
+    got = sorted(((r.start, r.doc_id, r.n_tokens) for r in records.encode_and_read(df, PATH).collect()))
     assert got == [(0, None, 2), (2, 1, 2), (4, 2, 1), (5, 2, 1)]
-    assert records.encode_and_read(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+    assert records.encode_and_read(df.limit(0), PATH).count() == 0
 
 
 def test_many_rows_of_one_id_are_split(spark, monkeypatch):
@@ -65,7 +66,7 @@ def test_many_rows_of_one_id_are_split(spark, monkeypatch):
     monkeypatch.setattr(records, "TASKS", 3)
     rows = [(None if i % 3 else 7, f"text {i} " + "x y " * (i % 11)) for i in range(300)] + [(None, None)] * 40 + [(9, "long " * 30_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    path = records.write_records(df, records.new_path(spark, "records"), PATH, public_tokenizers.PATTERN)
+    path = records.write_records(df, records.new_path(spark, "records"), PATH)
     index = records.build_index(spark, path, records.new_path(spark, "records-index"))
     per = index.groupBy("file").count().collect()
     assert len(per) > 6 and max(r["count"] for r in per) < 50
@@ -82,6 +83,21 @@ def test_files_are_ordered_by_number(spark):
     assert {r.doc_id: r.start for r in records.placed(index).collect()} == {2: 0, 3: 100, 0: 1100, 4: 1101, 1: 11101}
 
 
+def test_cutting_at_spaces_equals_the_library(monkeypatch):
+    lib, rng = Tokenizer.from_file(PATH), random.Random(5)
+    some = [*"ab c  \n\t'sé1,9.!\xa0\x85\u3000\x1c\x0b家дᾳ🙂\u0301  ", "<|endoftext|>", "'ll", " ", "  ", "\r\n", " word", " words,"]
+    rows = ["".join(rng.choice(some) for _ in range(rng.randrange(14))) for _ in range(8000)]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in rows]
+    for size in (1, 200, 1 << 20):
+        monkeypatch.setattr(token_count, "SLICE", size)
+        counter, encoder = token_count.BytePairCounter(PATH, public_tokenizers.PATTERN), records.WordEncoder(PATH, "<u2")
+        texts = pa.array([None, *rows]).slice(1)
+        assert counter.counts(texts).tolist() == [len(x) for x in want]
+        got = [np.frombuffer(b, "<u2").tolist() for cut in token_count.cut_at_spaces(texts, encoder.specials) for b in encoder.ids(cut)]
+        assert got == want
+    assert counter.counts(pa.array([None, ""])).tolist() == [0, 0] and counter.counts(pa.array([], pa.string())).tolist() == []
+
+
 def test_damage_is_found():
     data = records.frame(b"payload") + records.END_BYTE
     assert records.unframe(data) == (b"payload", len(data))
@@ -105,6 +121,15 @@ def test_plain_split_equals_unicode_split():
         assert got(t) == want(t)
 
 
+def test_word_table_is_bounded_and_exact():
+    asked, table = [], token_count.WordTable(8, pa.string())
+    for i in range(50):
+        words = ["hot", *[f"w{i + j}" for j in range(3)], "x" * (60 + i % 9)]
+        got = table.of(pa.array(words), lambda ws: asked.extend(ws) or pa.array([w + "!" for w in ws], pa.string()))
+        assert got.to_pylist() == [w + "!" for w in words] and len(table.words) <= 8
+    assert asked.count("hot") == 1 and asked.count("w20") <= 2
+
+
 def test_memo_keeps_what_is_in_use():
     asked = []
     m = token_count.Memo(20, lambda w: asked.append(w) or len(w))

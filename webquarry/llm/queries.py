@@ -61,7 +61,7 @@ def op6_sharding(spark, sf_dir):
 
 
 def op7_records(spark, sf_dir):
-    return records.encode_and_read(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
+    return records.encode_and_read(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op8_quality(spark, sf_dir):

@@ -31,11 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .token_count import PLAIN, Memo, plain_splitter
+from .token_count import WORDS, Cut, WordTable, byte_symbols, cut_at_spaces
 
 END_BYTE = b"\n"
-MEMO = 700_000  # pre-tokens a worker keeps at most
-ROWS = 500  # rows turned to Python objects at a time
+ROWS = 500  # records decoded at a time
+AT_ONCE = 100  # words joined to one text for the library
 FILE_BYTES = 24 << 20  # text bytes that one file takes about
 TASKS = 20_000  # writing tasks at most; beyond, a task writes several files
 _HEAD = struct.Struct("<QI")
@@ -106,37 +106,53 @@ def as_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 class WordEncoder:
-    """Token ids of whole texts from the tokenizers library, a pre-token at a time.
+    """Token ids of whole texts from the tokenizers library, a word at a time.
 
-    Byte-level BPE never merges over a pre-token's edge, so the library encodes each distinct
-    pre-token once and its ids are memoised as bytes. Texts with special strings or with
-    characters outside ``PLAIN`` go to the library whole.
+    Byte-level BPE never merges over a pre-token's edge, and a word with the space before it is whole
+    pre-tokens (see ``cut_at_spaces``), so the library encodes each distinct word once and its ids are memoised as
+    bytes. Texts with special strings or with runs of white space go to the library whole.
     """
 
-    def __init__(self, path: str, pattern: str, dtype: str):
+    def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = plain_splitter(pattern)
-        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        self.dtype, self.code = dtype, {"<u2": "H", "<u4": "I"}[dtype]
         if sys.byteorder != "little":
             raise NotImplementedError("records are little-endian")
-        self.memo = Memo(MEMO, self.encoded)
-
-    def whole(self, text: str) -> bytes:
-        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encoded(self, word: str) -> bytes:
-        return array(self.code, self.library.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if PLAIN.search(text) or any(s in text for s in self.specials):
-            return self.whole(text)
-        return b"".join(map(self.memo.__getitem__, self.split(text)))
+        self.after_space = WordTable(WORDS, pa.binary())
+        space = byte_symbols()[ord(" ")]
+        self.begins = np.array([self.library.id_to_token(i).startswith(space) for i in range(self.library.get_vocab_size())])
+
+    def encoded(self, texts: list[str]) -> pa.Array:
+        """What the library gives for each text."""
+        return pa.array([array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)], pa.binary())
+
+    def words(self, words: list[str]) -> pa.Array:
+        """Ids of each word with a space before it. Words are encoded some at a time: one begins at each token with a space."""
+        out = [pa.array([], pa.binary())]
+        for at in range(0, len(words), AT_ONCE):
+            some = words[at : at + AT_ONCE]
+            if any(not w or w[0].isspace() or w[-1].isspace() for w in some):
+                out.append(self.encoded([" " + w for w in some]))
+                continue
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            places = np.append(np.flatnonzero(self.begins[ids]), len(ids)).astype(np.int32) * ids.itemsize
+            out.append(pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(places), pa.py_buffer(ids)]))
+        return pa.concat_arrays(out)
+
+    def ids(self, cut: Cut) -> Iterator[bytes]:
+        """Ids of each text of a cut."""
+        entries = pa.concat_arrays([self.after_space.of(cut.words, self.words), self.encoded(cut.heads)])
+        parts = cut.parts.copy()
+        parts[cut.first[:-1]] = len(cut.words) + np.arange(len(cut.heads))
+        flat = entries.take(pa.array(parts))
+        ends = np.frombuffer(flat.buffers()[1], dtype=np.int32)[: len(flat) + 1][cut.first].tolist()
+        data = flat.buffers()[2]
+        for a, b in zip(ends, ends[1:]):
+            yield data[a:b].to_pybytes()
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -148,7 +164,7 @@ def encoder(*key: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every whole text, append ``end_id`` and write record files under ``path``; returns ``path``.
 
     Null and empty texts give a record that holds the end id alone. Null ids sort first; rows of one id
@@ -162,12 +178,13 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_
     tail = np.array([end_id], dtype=dtype).tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(tokenizer, pattern, dtype).ids
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                out = [document_frame(k, ids(t) + tail) for k, t in zip(keys, texts)]
+        words = encoder(tokenizer, dtype)
+        for batch in batches:
+            at = 0
+            for cut in cut_at_spaces(batch.column(1), words.specials):
+                keys = batch.column(0).slice(at, len(cut.heads)).to_pylist()
+                at += len(keys)
+                out = [document_frame(k, ids + tail) for k, ids in zip(keys, words.ids(cut))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -233,8 +250,8 @@ def read_shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int, d
     return _files(spark, path).join(wanted, "file").select("file", "content", "offsets").mapInArrow(records, "file string, doc_id long, ids array<long>")
 
 
-def encode_and_read(docs: DataFrame, tokenizer: str, pattern: str, **kw) -> DataFrame:
+def encode_and_read(docs: DataFrame, tokenizer: str, **kw) -> DataFrame:
     """Write record files in the shared folder, read them back into their index, and return each record's place."""
     spark = docs.sparkSession
-    path = write_records(docs, new_path(spark, "records"), tokenizer, pattern, **kw)
+    path = write_records(docs, new_path(spark, "records"), tokenizer, **kw)
     return placed(build_index(spark, path, new_path(spark, "records-index")))

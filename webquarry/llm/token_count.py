@@ -5,8 +5,9 @@ adjacent pair. The lowest-rank pair (leftmost on ties) is popped and merged, pai
 longer stand are skipped, and new neighbours are pushed. The count is n minus the merges, so
 O(n log n) also for very long pre-tokens.
 
-Each Python worker keeps a bounded memo of pre-token counts; memory is bounded by the Arrow
-batch size and by ``MEMO`` entries, and a lost task is simply run again.
+A space between two words always begins a pre-token, so texts are cut at their spaces (by Arrow, a slice of
+rows at a time) and each distinct word, with the space before it, is counted by itself. Each Python worker keeps the counts
+of ``WORDS`` words and ``MEMO`` pre-tokens at most; these bounds and ``SLICE`` bound its memory, and a lost task is simply run again.
 """
 
 from __future__ import annotations
@@ -14,19 +15,28 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEMO = 400_000  # entries a worker keeps at most, in two generations
+MEMO = 400_000  # pre-tokens a worker keeps at most, in two generations
+WORDS = 1_000_000  # words a worker keeps at most, some 40 bytes each
 MEMO_LEN = 64  # longer pre-tokens are not memoised
 #: Letters whose Unicode class is the same in every library version.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я一-龥"
 #: Finds characters that are neither such letters, nor ASCII, nor common punctuation; texts that have one are split by the library itself.
 PLAIN = re.compile(f"[^\x00-\x1b\x20-\xb1´-¸»¿×÷º{LETTERS}‐-‧‰-⁞€]")
+SLICE = 8 << 20  # text bytes cut at a time (one text at least)
+_SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: White space on both sides of a space: a pre-token may lie across it, so that such texts aren't cut at their spaces.
+SPACED = rf"[{_SPACES}] (?:[{_SPACES}]|\z)"
 
 
 def plain_splitter(pattern: str):
@@ -53,12 +63,79 @@ class Memo(dict):
         if value is None:
             value = self.value(word)
         if len(word) <= MEMO_LEN:
-            if len(self) >= self.half:
-                self.old = dict(self)
-                self.clear()
-            self[word] = value
+            self.keep(word, value)
         return value
 
+    def keep(self, word: str, value) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
+
+
+class WordTable:
+    """Values of words as two Arrow arrays, for at most ``bound`` words of at most MEMO_LEN bytes.
+
+    When it is full, words that were asked for again since the last time stay (at most half of the bound).
+    """
+
+    def __init__(self, bound: int, kind: pa.DataType):
+        self.bound = bound
+        self.words, self.values, self.used = pa.array([], pa.string()), pa.array([], kind), np.zeros(0, dtype=bool)
+
+    def of(self, words: pa.Array, compute: Callable[[list[str]], pa.Array]) -> pa.Array:
+        """The values of distinct words; ``compute`` gives those of all words that are not kept."""
+        at = pc.index_in(words, value_set=self.words)
+        missing = words.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.used[at[at >= 0]] = True
+        at[at < 0] = len(self.words) + np.arange(len(missing))
+        new = compute(missing.to_pylist())
+        values = pa.concat_arrays([self.values, new]).take(pa.array(at))
+        short = pc.less_equal(pc.binary_length(missing), MEMO_LEN)
+        self.words = pa.concat_arrays([self.words, missing.filter(short)])
+        self.values = pa.concat_arrays([self.values, new.filter(short)])
+        self.used = np.concatenate([self.used, np.zeros(len(self.words) - len(self.used), dtype=bool)])
+        if len(self.words) > self.bound:
+            keep = pa.array(self.used & (np.cumsum(self.used) <= self.bound // 2))
+            self.words, self.values = self.words.filter(keep), self.values.filter(keep)
+            self.used = np.zeros(len(self.words), dtype=bool)
+        return values
+
+
+class Cut(NamedTuple):
+    """Texts cut at their spaces. Text i is parts[first[i]:first[i + 1]]: the first part is ``heads[i]``, of which no
+    space was cut off, the others index ``words``, each to be read with a space before it. Where a cut could change
+    pre-tokens, the text is uncut: a single part, its head."""
+
+    words: pa.Array
+    parts: np.ndarray
+    first: np.ndarray
+    heads: list[str]
+
+
+def cut_at_spaces(texts: pa.Array, specials: list[str]) -> Iterator[Cut]:
+    """Slices of the texts (null: empty), of about SLICE bytes each."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
+        some = texts.slice(at, to - at)
+        at = to
+        uncut = pc.match_substring_regex(some, SPACED)
+        for x in specials:
+            uncut = pc.or_(uncut, pc.match_substring(some, x))
+        cut = pc.split_pattern(pc.if_else(uncut, "", some), " ")
+        first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        flat = cut.flatten()
+        heads = flat.take(pa.array(first[:-1])).to_pylist()
+        for i in np.flatnonzero(uncut.to_numpy(zero_copy_only=False)):
+            heads[i] = some[int(i)].as_py()
+        found = flat.dictionary_encode()
+        yield Cut(found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), first, heads)
+
 
 def byte_symbols() -> list[str]:
     """The printable stand-in for each byte in byte-level vocabularies."""
@@ -93,6 +170,8 @@ class BytePairCounter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.split = plain_splitter(pattern)
         self.memo = Memo(MEMO, self.merged)
+        self.special_texts = special
+        self.after_space = WordTable(WORDS, pa.int64())
         self.library = None
 
     def merged(self, word: str) -> int:
@@ -140,17 +219,26 @@ class BytePairCounter:
             return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
         return self.split(text)
 
+    def summed(self, text: str) -> int:
+        """Tokens of a text without special strings, a pre-token at a time."""
+        return sum(map(self.memo.__getitem__, self.pieces(text)))
+
     def count(self, text: str | None) -> int:
+        """Tokens of a whole text."""
         if not text:
             return 0
-        total = 0
-        parts = [text]
-        if self.special and self.special.search(text):
-            parts = self.special.split(text)
-            total = len(parts) - 1
-        for part in parts:
-            total += sum(map(self.memo.__getitem__, self.pieces(part)))
-        return total
+        parts = self.special.split(text) if self.special else [text]
+        return len(parts) - 1 + sum(map(self.summed, parts))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of whole texts; 0 for null."""
+        out = [np.zeros(0, dtype=np.int64)]
+        for cut in cut_at_spaces(texts, self.special_texts):
+            of_word = self.after_space.of(cut.words, lambda ws: pa.array([self.summed(" " + w) for w in ws], pa.int64()))
+            n = of_word.to_numpy()[cut.parts]
+            n[cut.first[:-1]] = list(map(self.count, cut.heads))
+            out.append(np.add.reduceat(n, cut.first[:-1]))
+        return np.concatenate(out)
 
 
 _COUNTERS: dict[tuple[str, str], BytePairCounter] = {}
@@ -167,8 +255,7 @@ def counter(path: str, pattern: str) -> BytePairCounter:
 def count_udf(path: str, pattern: str):
     @F.arrow_udf(T.LongType())
     def counted(texts: pa.Array) -> pa.Array:
-        count = counter(path, pattern).count
-        return pa.array([count(t) for t in texts.to_pylist()], pa.int64())
+        return pa.array(counter(path, pattern).counts(texts))
 
     return counted
 
