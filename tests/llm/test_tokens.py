@@ -78,7 +78,7 @@ def test_many_rows_of_one_id_are_split(spark, monkeypatch):
 
 
 def test_files_are_ordered_by_number(spark):
-    names = ["part-99999-u-c001.txt", "part-100000-u-c000.txt", "part-00002-u-c000.txt", "part-99999-u-c000.txt", "part-99999-u-c1000.txt"]
+    names = [f"part-{n}.txt" for n in ("99999-c8-c001", "100000-c8-c000", "00002-u-c000", "99999-c8-c000", "99999-c8-c1000")]
     index = spark.createDataFrame([(n, 0, 1, i, 10 ** i, 0, 0) for i, n in enumerate(names)], records.INDEX)
     assert {r.doc_id: r.start for r in records.placed(index).collect()} == {2: 0, 3: 100, 0: 1100, 4: 1101, 1: 11101}
 

@@ -221,7 +221,7 @@ def build_index(spark: SparkSession, path: str, index_path: str, dtype: str = "<
 
 def file_order(file: Column) -> tuple[Column, Column]:
     """A file name's task number and its number among that task's files; names alone don't sort past 99,999."""
-    return tuple(F.regexp_extract(file, p, 1).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)"))
+    return tuple(F.regexp_extract(file, p, 1).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)[^-]*$"))
 
 
 def placed(index: DataFrame) -> DataFrame:
