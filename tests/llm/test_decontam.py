@@ -11,14 +11,16 @@ def slow(docs, items):
     out = {}
     for (i, a), (j, b) in itertools.product(docs, items):
         t, q = [re.findall(r"[^\W_]+", (x or "").lower()) for x in (a, b)]
-        w, best = min(len(q), d.WINDOW), 0
-        if len(q) < 6:
+        w, best, run = min(len(q), d.WINDOW), 0, 0
+        if not q:
             continue
         for diag in range(-len(q), len(t)):
             eq = [0 <= diag + k < len(t) and t[diag + k] == q[k] for k in range(len(q))]
             best = max([best, *(sum(eq[s : s + w]) for s in range(len(q) - w + 1))])
-        if best >= 0.8 * w - 1e-9:
-            out[i, j] = (best, w)
+            run = max([run, *(len(list(g)) for same, g in itertools.groupby(eq) if same)])
+        found = [(best, w)] * (best >= 0.8 * w - 1e-9) + [(min(run, w), min(run, w))] * (run >= d.EXACT)
+        if found:
+            out[i, j] = max(found)
     return out
 
 
@@ -27,34 +29,37 @@ def test_masks_hit_every_window():
         for subs in itertools.combinations(range(n), n // 5):
             bad = set(subs)
             assert any(not bad & {p + o for o in m} for m in d.MASKS for p in range(n - m[-1]))
+    for n in range(1, 11):
+        for subs in itertools.combinations(range(n), n // 5):
+            assert any(not set(subs) & {p + o for o in m} for p, m in d.short_masks(n, 0.8)), (n, subs)
 
 
 def case(rng):
-    words = [f"w{i}" for i in range(60)]
-    items = [(j, " ".join(rng.choice(words) for _ in range(n))) for j, n in enumerate([3, 8, 11, 15, 20, 33, 40, 59])] + [(90, None), (91, "")]
+    words = [f"w{i}" for i in range(300)]
+    items = [(j, " ".join(rng.choice(words) for _ in range(n))) for j, n in enumerate([3, 8, 11, 15, 20, 33, 40, 59, 1, 2, 4, 5, 6, 7, 9, 10])] + [(90, None), (91, "")]
     docs = []
-    for i in range(60):
+    for i in range(150):
         t = [rng.choice(words) for _ in range(rng.choice([0, 4, 40, 400]))]
-        j, q = rng.choice(items[2:8])
+        j, q = rng.choice(items[:16])
         q = q.split()
         for k in rng.sample(range(len(q)), rng.randrange(0, len(q) // 4 + 2)):
             q[k] = "sub" + str(k)
         at = rng.randrange(len(t) + 1)
         text = t[:at] + (q[rng.randrange(3) :] if i % 3 else []) + t[at:]
         docs.append((i, rng.choice([" ", ", ", "\n"]).join(x.upper() if rng.random() < 0.2 else x for x in text)))
-    return docs + [(200, None), (201, "")], items
+    whole = [(300 + j, f"x {q} y") for j, q in items if q]
+    return docs + whole + [(200, None), (201, "")], items
 
 
 def test_leaks_equal_brute_force(spark):
     docs, items = case(random.Random(5))
-    ddf = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("item_id", F.lit("x"))
+    ddf = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("item_id", F.lit("x")).withColumn("t", F.lit("y")).withColumn("ctx", F.lit(2))
     bdf = spark.createDataFrame(items, "item_id long, text string")
     want = slow(docs, items)
-    for limit in (10**6, 0):  # broadcast and shuffled
-        got = {(r.doc_id, r.item_id): (r.matched, r.window) for r in d.leaks(ddf, bdf, broadcast_seeds=limit).collect()}
-        # items under 11 words may lie below the seeds' guarantee
-        assert {k: v for k, v in want.items() if k[1] >= 2} == {k: v for k, v in got.items() if k[1] >= 2}
-        assert set(got) <= set(want)
+    assert {w for _, w in want.values()} >= {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 15, 20}
+    for block in (10**6, 300):  # one pass and several
+        got = {(r.doc_id, r.item_id): (r.matched, r.window) for r in d.leaks(ddf, bdf, seed_block=block).collect()}
+        assert got == want
     kept = {r.doc_id for r in d.without_leaks(ddf, bdf).collect()}
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
@@ -87,3 +92,13 @@ def test_short_verbatim_excerpts_of_long_items(spark):
     docs = [(10 * n + at % 7, " ".join(["x"] * 30 + item[at : at + n] + ["y"] * 30)) for n in (10, 11, 13, 15) for at in (0, 12, 38 - n)]
     got = d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
     assert {r.doc_id: (r.matched, r.window) for r in got} == {i: (i // 10, i // 10) for i, _ in docs if i >= 110}
+
+
+def test_only_hits_take_words_along(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, "z " * 200_000 + item), (2, " ".join(f"u{k}" for k in range(500)))], "doc_id long, text string")
+    got = d._found(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    scans = [x for x in got.inputFiles() if "/hits-" in x]
+    hits = spark.read.parquet(*{x.rsplit("/", 1)[0] for x in scans})
+    assert hits.count() == 30 * 2 - 5 - 8 and hits.select("doc_id").distinct().count() == 1
+    assert got.select("doc_id").first().doc_id == 1
