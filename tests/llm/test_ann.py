@@ -46,3 +46,30 @@ def test_edges(spark):
     assert [(q, r, v) for q, r, v, _ in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 200), (0, 4, 8), (0, 5, 8), (200, 1, 8), (200, 2, 8), (200, 3, 0), (200, 4, 1), (200, 5, 2)]
     assert got[0][3] == 0.0
     assert ann.search(df.limit(0)).count() == 0
+
+
+def test_repeats_ragged_and_many_groups(spark, monkeypatch):
+    """Every row but the query's own is a candidate; the radius holds all codes here, so that the result is exact."""
+    monkeypatch.setattr(ann, "GROUP_ROWS", (40, 40))
+    monkeypatch.setattr(ann, "TARGET", 1.0)
+    rng = np.random.default_rng(2)
+    rows = [(int(i), rng.normal(size=3).round(2).tolist()) for i in range(300)]
+    rows += [(0, [0.5, 0.5, 0.5]), (0, [0.5, 0.5, 0.5]), (100, [9.0, 9.0, 9.0]), (7, rows[7][1])] + [(8, [1.0, 1.0, 1.0])] * 30 + [(9, [1.0]), (200, [1.0, 2.0])]
+    rng.shuffle(rows)
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    full = [(i, tuple(x)) for i, x in rows if len(x) == 3]
+    want = []
+    for q in sorted({r for r in full if r[0] % 100 == 0}):
+        rest = list(full)
+        rest.remove(q)
+        near = sorted((float(np.sqrt(((np.array(x) - np.array(q[1])) ** 2).sum())), i) for i, x in rest)[:10]
+        want += [(q[0], n + 1, i, d) for n, (d, i) in enumerate(near)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_scans_dont_grow_with_queries(spark):
+    def scans(every):
+        df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+        return ann.search(df, every=every)._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+    assert scans(100) == scans(2)

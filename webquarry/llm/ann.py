@@ -8,18 +8,19 @@ r - m * floor(r / m) + 1), so probing the substring tables with all masks of tha
 every code in the radius. Those are checked on the full code and reranked by their float vectors.
 
 The radius is learned on the fit sample, as the one that holds ``TARGET`` of true neighbours there; the
-neighbours in the whole table are nearer still. A query whose chunk yields fewer than k codes widens its
-radius there, so that k neighbours are always found if there are as many.
+neighbours in the whole table are nearer still. Queries that find fewer than k rows in it are searched again, with a
+radius that widens until each group of rows yields k, so that k neighbours are always found if there are as many.
 
-Distribution: every row is indexed; each task indexes its rows in chunks of ``CHUNK`` and
-probes them with a block of at most ``QUERY_BLOCK`` broadcast queries (some 4 MB), keeping k
-rows a query, and one aggregation merges the tasks' lists. More queries mean more blocks, each a pass
-over the rows; nothing pairs rows with rows.
+Distribution: the rows are dealt to groups of bounded size by hash. One shuffle brings each group's rows together with
+a copy of every query behind them; a task indexes its group once, then streams the queries past the tables,
+and k rows a query and group go on to one top-k. The number of scans doesn't depend on the number of queries,
+no task holds more than one group and a batch of queries, nothing is collected or broadcast but the codes' matrix, and nothing pairs rows with rows.
 """
 
 from __future__ import annotations
 
-from functools import cache, reduce
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ FIT_ROWS = 8_000
 FIT_QUERIES = 200
 TARGET = 0.97
 SUB = 16  # bits of a substring
-CHUNK = 32_768
-QUERY_BLOCK = 4_096
+GROUP_ROWS = (16_384, 262_144)  # rows of a group, in small and in large tables
+GROUPS = 256  # as many groups, while they keep to these sizes
 ROUNDS = 30
 
 
@@ -131,25 +132,31 @@ class Tables:
         return rows[hamming(code, self.codes[rows]) <= radius]
 
 
-def probe(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, codes: Codes, k: int, best: list) -> None:
-    """Search one chunk for all queries; ``best``: for each query (ids, distances) so far."""
-    tables, qcodes = Tables(codes.of(x)), codes.of(q)
-    for i in range(len(qids)):
-        radius = codes.radius
+class Group:
+    """A group's rows (``ids``, vectors ``x``, how often each row occurs) and their tables."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, times: np.ndarray, codes: Codes):
+        self.ids, self.x, self.times, self.codes = ids, x, times, codes
+        self.tables = Tables(codes.of(x))
+
+    def nearest(self, qid: int, q: np.ndarray, code: np.ndarray, k: int, widen: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the k nearest rows in the radius, a row as often as it occurs, the query's own occurrence left out."""
+        radius = self.codes.radius
         while True:
-            rows = tables.within(qcodes[i], radius)
-            rows = rows[ids[rows] != qids[i]]
-            if len(rows) >= k or radius >= codes.bits:
+            rows = self.tables.within(code, radius)
+            own = rows[self.ids[rows] == qid]
+            own = own[(self.x[own] == q).all(axis=1)]
+            if not widen or self.times[rows].sum() - len(own) >= k or radius >= self.codes.bits:
                 break
-            radius = min(codes.bits, radius + 4)
-        d = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
-        own, dist = best[i]
-        own, dist = np.concatenate([own, ids[rows]]), np.concatenate([dist, d])
-        if len(dist) > k:
-            keep = dist <= np.partition(dist, k - 1)[k - 1]
-            own, dist = own[keep], dist[keep]
-        order = np.lexsort((own, dist))[:k]
-        best[i] = own[order], dist[order]
+            radius = min(self.codes.bits, radius + 4)
+        times = self.times[rows] - np.isin(rows, own)
+        d = np.sqrt(((self.x[rows] - q) ** 2).sum(axis=1))
+        ids, d = np.repeat(self.ids[rows], times), np.repeat(d, times)
+        if len(d) > k:
+            keep = d <= np.partition(d, k - 1)[k - 1]
+            ids, d = ids[keep], d[keep]
+        order = np.lexsort((ids, d))[:k]
+        return ids[order], d[order]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -157,71 +164,84 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(group, whether queries, part of the batch) of a batch that is sorted by both."""
+    key = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield int(key[a]) // 2, int(key[a]) % 2, batch.slice(a, b - a)
+
+
+def search_batches(batches: Iterator[pa.RecordBatch], codes: Codes, k: int, widen: bool) -> Iterator[pa.RecordBatch]:
+    """A task's part: batches of (grp, asks, vec_id, times, x), sorted by group with its queries last; k rows a query come out."""
+    held, at, group = [], None, None
+    for batch in batches:
+        for g, asks, part in runs(batch):
+            if g != at:
+                held, at, group = [], g, None
+            ids, x = part.column(2).to_numpy(), _matrix(part.column(4))
+            if not asks:
+                held.append((ids, x, part.column(3).to_numpy()))
+                continue
+            if group is None:
+                if not held:
+                    continue
+                group, held = Group(*(np.concatenate(c) for c in zip(*held)), codes), []
+            found = [group.nearest(int(i), v, c, k, widen) for i, v, c in zip(ids, x, codes.of(x))]
+            sizes = [len(i) for i, _ in found]
+            keys = part.column(3).to_numpy()
+            columns = [np.repeat(ids, sizes), np.repeat(keys, sizes), np.concatenate([i for i, _ in found]), np.concatenate([d for _, d in found])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "key", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows of every row whose id is divisible by ``every``.
 
     Columns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (Euclidean distance in double precision), ties to
     the smaller id. Vectors that are null, empty, zero or hold null or non-finite components take no
-    part, nor do rows with a null id. Rows that repeat a query's id aren't its candidates; repeated
-    query rows are searched once (any one of them). Vectors must have one length; an empty table gives no rows.
+    part, nor do rows with a null id, nor vectors that haven't the table's most frequent length (the longer of two as frequent).
+    A query's own row alone isn't its candidate: other rows with its id are, and so are further rows that repeat it wholly.
+    Rows that share an id but differ in vector are queries of their own; rows that repeat id and vector are one query. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col)
-    rows = vectors.where(usable(v) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("x"))
     schema = "query_id long, rank int, vec_id long, score double"
-    h = F.xxhash64("x")
-    fit = rows.select("x", h.alias("h")).orderBy("h").limit(FIT_ROWS).select("x").collect()
-    if not fit:
+    rows = vectors.where(usable(v) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("x"))
+    sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if sizes is None:
         return spark.createDataFrame([], schema)
+    rows = rows.where(F.size("x") == sizes["d"])
+    fit = rows.select("x").orderBy(F.xxhash64("x")).limit(FIT_ROWS).collect()
     codes = spark.sparkContext.broadcast(Codes.fit(np.array([r["x"] for r in fit]), k))
 
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries, _ = written(queries, "queries")
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    parts = []
-    for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        got = mine.orderBy("vec_id").collect()  # a block of bounded size
-        if not got:
-            continue
-        asked = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in got]), np.array([r["x"] for r in got])))
-        parts.append(rows.mapInArrow(_searcher(codes, asked, k), "query_id long, vec_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    found = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _searcher(codes, asked, k: int):
+    low, high = GROUP_ROWS
+    groups = -(-sizes["count"] // max(low, min(high, sizes["count"] // GROUPS)))
+    # More than k + 1 copies of a row can't be told from k + 1.
+    once = rows.groupBy("vec_id", "x").agg(F.least(F.count("*"), F.lit(k + 1)).alias("times"))
+    once, _ = written(once, "vectors")
+    queries = once.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("x").alias("key"), "x")
+    own = once.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(groups)).alias("grp"), F.lit(0).alias("asks"), "vec_id", "times", "x")
+
+    def nearest(queries: DataFrame, widen: bool) -> DataFrame:
+        every_group = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp")
+        asked = queries.select(every_group, F.lit(1).alias("asks"), "vec_id", F.col("key").alias("times"), "x")
+        dealt = own.unionByName(asked).repartition(int(groups), "grp").sortWithinPartitions("grp", "asks")
+        found = dealt.mapInArrow(_searcher(codes, k, widen), "query_id long, key long, vec_id long, score double")
+        order = Window.partitionBy("query_id", "key").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    best, _ = written(nearest(queries, False), "nearest")
+    full = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "key")
+    short, _ = written(queries.join(full, ["vec_id", "key"], "left_anti"), "short-queries")
+    if not short.isEmpty():
+        again = nearest(short, True)
+        best = best.join(short.select(F.col("vec_id").alias("query_id"), "key"), ["query_id", "key"], "left_anti").unionByName(again)
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _searcher(codes, k: int, widen: bool):
     def run(batches):
-        return search_batches(batches, codes.value, *asked.value, k)
+        return search_batches(batches, codes.value, k, widen)
 
     return run
-
-
-def search_batches(batches, codes: Codes, qids: np.ndarray, q: np.ndarray, k: int):
-    """A task's part: chunks of its rows are indexed and probed, and k rows a query come out."""
-    best = [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in qids]
-    held, n = [], 0
-
-    def flush():
-        ids = np.concatenate([i for i, _ in held])
-        probe(ids, np.concatenate([x for _, x in held]), qids, q, codes, k, best)
-
-    for b in batches:
-        for at in range(0, b.num_rows, CHUNK):
-            part = b.slice(at, CHUNK)
-            held.append((part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1))))
-            n += part.num_rows
-            if n >= CHUNK:
-                flush()
-                held, n = [], 0
-    if held:
-        flush()
-    sizes = [len(i) for i, _ in best]
-    if sum(sizes):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([d for _, d in best]))],
-            names=["query_id", "vec_id", "score"],
-        )
