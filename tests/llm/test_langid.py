@@ -36,6 +36,43 @@ def test_blocks_do_not_change_marginals(monkeypatch):
         assert np.allclose(m.marginals(e, lengths), want)
 
 
+def test_long_texts_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = langid.Model(["a", "b", "c"], {})
+    m.step = rng.normal(size=(3, 3))
+    m.emit = rng.normal(size=m.emit.shape).astype(np.float32)
+    texts = [" ".join("".join(rng.choice(list("abcde"), size=4)) for _ in range(n)) for n in (900, 3, 130, 128, 2000)]
+    want = m.predict(texts)
+    monkeypatch.setattr(langid, "GROUP_WORDS", 64)
+    for (x, a, b), (y, c, d) in zip(m.predict(texts), want):
+        assert x == y and abs(a - c) < 1e-9 and abs(b - d) < 1e-9
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(7)
+    e, step, gold = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.integers(3, size=(2, 4))
+
+    def loss(e, step):
+        out = 0.0
+        for b in range(2):
+            score = lambda path: sum(e[b, k, s] for k, s in enumerate(path)) + sum(step[x, y] for x, y in zip(path, path[1:]))
+            first = lambda path: np.log(np.exp(step[:, path[0]]).sum() / 3)  # noqa: E731 - any label may come before the first word
+            out += np.log(sum(np.exp(score(p) + first(p)) for p in itertools.product(range(3), repeat=4))) - score(gold[b]) - first(gold[b])
+        return out
+
+    grad, moves = langid._gradient(e, step, gold)
+    for at in itertools.product(range(2), range(4), range(3)):
+        d = np.zeros_like(e)
+        d[at] = 1e-5
+        assert abs((loss(e + d, step) - loss(e - d, step)) / 2e-5 - grad[at]) < 1e-6
+    assert moves.shape == (3, 3) and abs(moves.sum()) < 1e-9
+
+
+def test_rarer_languages_than_the_bound_are_left_out(spark):
+    df = spark.createDataFrame([(i, f"word{i} text", "a" if i < 9 else f"l{i % 3}") for i in range(18)], "doc_id long, text string, lang string")
+    assert {x for _, x in langid.sample(df, languages=2)} == {"a", "l0"}
+
+
 def test_held_out_accuracy_and_switching(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in langid.identify(docs).collect()}

@@ -15,10 +15,12 @@ _OWN_DIR: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """Folder for working tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (unit tests) a folder of this process is used.
+    Only where that setting is absent in local mode (unit tests) a folder of this process is used; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="webquarry-"))
     return f"{base.rstrip('/')}/webquarry"
 

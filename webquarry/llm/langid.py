@@ -31,10 +31,10 @@ WINDOW_CHARS = 1500
 LENGTH = 32  # words of a training sequence
 SWITCH = 0.1  # chance that the next word of a training sequence comes from another window
 LEXICON = 300  # frequent words a language
-MAX_LANGUAGES = 200
+LANGUAGES = 200  # languages learned at most, the most frequent
 EPOCHS = 6
 BLOCK = 64
-GROUP_WORDS = 200_000
+GROUP_WORDS = 200_000  # with four languages; fewer with more
 MEMO = 250_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -140,19 +140,50 @@ class Model:
         out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         if not self.labels:
             return out
-        group, n = [], 0
+        group, n, most = [], 0, max(BLOCK, GROUP_WORDS * 4 // max(4, len(self.labels)))
         for i, text in enumerate(texts):
             words = [w for w in words_of(text) if w.isalpha() or any(c.isalpha() for c in w)]
-            if words:
+            if len(words) > 2 * most:
+                out[i] = self._long(words, most)
+            elif words:
                 group.append((i, words))
                 n += len(words)
-            if group and (n >= GROUP_WORDS or i + 1 == len(texts)):
+            if group and (n >= most or i + 1 == len(texts)):
                 self._run(group, out)
                 group, n = [], 0
         if group:
             self._run(group, out)
         return out
 
+    def _long(self, words: list[str], most: int) -> tuple[str, float, float]:
+        """The same for one very long text, ``most`` words at a time: forward over all parts, then back over them."""
+        step = np.exp(self.step - self.step.max())
+        parts = [words[at : at + most] for at in range(0, len(words), most)]
+        v, into = np.full(len(self.labels), 1.0 / len(self.labels)), []
+        for part in parts:
+            into.append(v)
+            for e in self.emissions(part):
+                v = (v @ step) * e
+                v /= v.sum()
+        back, total, sure = np.ones(len(self.labels)), np.zeros(len(self.labels)), 0.0
+        for part, v in zip(reversed(parts), reversed(into)):
+            emission = self.emissions(part)
+            ahead = np.empty_like(emission)
+            for t, e in enumerate(emission):
+                v = (v @ step) * e
+                v /= v.sum()
+                ahead[t] = v
+            for t in range(len(part) - 1, -1, -1):
+                p = ahead[t] * back
+                p /= p.sum()
+                total += p
+                sure += p.max()
+                back = (emission[t] * back) @ step.T
+                back /= back.sum()
+        mean = total / len(words)
+        k = int(mean.argmax())
+        return self.labels[k], min(1.0, float(mean[k])), min(1.0, sure / len(words))
+
     def _run(self, group: list[tuple[int, list[str]]], out: list) -> None:
         lengths = np.array([len(w) for _, w in group], dtype=np.int64)
         emission = self.emissions([x for _, w in group for x in w])
@@ -242,13 +273,15 @@ def fit(windows: list[tuple[str, str]], seed: int = 5) -> Model:
     return model
 
 
-def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None) -> list[tuple[str, str]]:
-    """About ``WINDOWS`` windows for each language, chosen by hash from all labelled rows."""
+def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, languages: int = LANGUAGES) -> list[tuple[str, str]]:
+    """About ``WINDOWS`` windows for each of the ``languages`` most frequent languages, chosen by hash from all labelled rows.
+
+    The sample is bounded in characters, as one text may be longer than all others together: a long row gives a window of
+    it, at a place drawn by its hash.
+    """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(*([key] if key is not None else []), F.col(text_col)).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return []
     bar = F.lit(None).cast("double")

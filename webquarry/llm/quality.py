@@ -2,7 +2,7 @@
 
 Overlapping heuristics vote good, bad or abstain on each whole text. Expectation-maximisation over
 the counts of vote patterns of the whole corpus estimates how often each labeller gives each
-vote on good and on bad texts, without any true label; the patterns (at most 3^11, whatever
+vote on good and on bad texts, without any true label; the patterns (at most 3^10, whatever
 the corpus) are all that reaches the driver. Posterior labels of a bounded sample
 (about ``FIT_DOCS`` windows of ``FIT_CHARS``) train a logistic scorer on hashed token features, which
 then scores every whole text.
@@ -30,7 +30,9 @@ HASH = 1 << 16
 EM_ROUNDS = 100
 TRAIN_ROUNDS = 300
 MEMO = 250_000
-FALSE_ALARM = 0.01  # believed share of bad votes on good texts
+FALSE_ALARM = 0.02  # where the estimate of bad votes on good texts starts
+KNOWS = 0.7  # where the estimate of bad votes on a labeller's own kind of bad texts starts
+BELIEF = 20.0  # votes that these starting points weigh in the estimates, whatever the corpus
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
 #: Frequent function words of the languages handled.
@@ -50,7 +52,7 @@ def _vote(value: float, good: float, bad: float) -> int:
 
 
 #: The labellers, in the order of the votes.
-LABELLERS = ("symbols", "capitals", "digits", "exclamation", "repeated_lines", "word_runs", "distinct_words", "distinct_pairs", "word_length", "function_words", "length")
+LABELLERS = ("symbols", "capitals", "digits", "exclamation", "repeated_lines", "word_runs", "distinct_words", "distinct_pairs", "word_length", "function_words")
 
 
 class Measures(NamedTuple):
@@ -73,10 +75,13 @@ def measured(text: str | None) -> Measures | None:
 
 
 def votes(text: str | None, m: Measures | None = None) -> tuple[int, ...]:
-    """One vote of each labeller on the whole text; a null or blank text only has a (bad) length."""
+    """One vote of each labeller on the whole text; all abstain on a null or blank text.
+
+    The function words are those of four languages: on texts that aren't mostly in Latin letters their labeller abstains.
+    """
     m = m or measured(text)
     if m is None:
-        return (ABSTAIN,) * (len(LABELLERS) - 1) + (BAD,)
+        return (ABSTAIN,) * len(LABELLERS)
     words, n = m.words, len(m.words)
     count = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), minlength=256).tolist()
     ink = max(1, sum(count) - sum(count[c] for c in _SPACE))
@@ -92,8 +97,7 @@ def votes(text: str | None, m: Measures | None = None) -> tuple[int, ...]:
         _vote(-len(set(words)) / n**0.8, -1.4, -0.8) if n >= 20 else ABSTAIN,
         _vote(m.pairs, 0.2, 0.5) if n >= 20 else ABSTAIN,
         _vote(abs(ink / n - 6.0), 3.0, 6.0) if n >= 5 else ABSTAIN,
-        _vote(-sum(map(FUNCTION_WORDS.__contains__, words)) / n, -0.12, -0.05) if n >= 20 else ABSTAIN,
-        GOOD if n >= 30 else ABSTAIN,
+        _vote(-sum(map(FUNCTION_WORDS.__contains__, words)) / n, -0.12, -0.05) if n >= 20 and 2 * (letters + count[0xC3]) >= ink - sum(count[48:58]) else ABSTAIN,
     )
 
 
@@ -142,22 +146,25 @@ class LabelModel:
 
     @classmethod
     def fit(cls, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
-        """EM under the belief that good texts seldom get a bad vote and that each kind's own labeller sees it."""
+        """EM from the belief that good texts seldom get a bad vote and that each kind's own labeller sees it.
+
+        The belief breaks the symmetry between classes and weighs BELIEF votes for each labeller and class, so that the
+        corpus's votes decide; a labeller whose votes fit no class ends with an accuracy near chance.
+        """
         k = patterns.shape[1]
-        total = counts.sum()
-        belief = np.empty((k, k + 1, 2))
-        belief[:, 1:] = [1.0, 2.0]
-        belief[:, 0] = 0.05 * total * np.array([FALSE_ALARM, 1 - FALSE_ALARM]) + [0.01, 1.0]
-        belief[range(k), range(1, k + 1)] = 0.005 * total * np.array([0.95, 0.05]) + [1.0, 0.1]
-        share = np.array([0.9] + [0.1 / k] * k)
-        model = cls(share, belief / belief.sum(axis=2, keepdims=True))
+        start = np.empty((k, k + 1, 2))
+        start[:, 1:] = [1 / 3, 2 / 3]
+        start[:, 0] = [FALSE_ALARM, 1 - FALSE_ALARM]
+        start[range(k), range(1, k + 1)] = [KNOWS, 1 - KNOWS]
+        belief = BELIEF * start
+        model = cls(np.array([0.95] + [0.05 / k] * k), start)
         before = np.zeros(len(patterns))
         for _ in range(EM_ROUNDS):
             p = model.classes(patterns)
             w = p * counts[:, None]
             seen = np.stack([[w[patterns[:, j] == v].sum(axis=0) for v in (BAD, GOOD)] for j in range(k)]).transpose(0, 2, 1)
             tables = seen + belief
-            share = w.sum(axis=0) + np.array([1.0] + [0.1 / k] * k)
+            share = w.sum(axis=0) + 1.0 / k
             model = cls(share / share.sum(), tables / tables.sum(axis=2, keepdims=True))
             if np.abs(p[:, 0] - before).max(initial=0) < 1e-6:
                 break
@@ -254,7 +261,7 @@ def votes_udf(texts: pa.Array) -> pa.Array:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[LabelModel, Scorer]:
     """The label model from all rows, and the scorer from its posteriors on a bounded sample."""
     text = F.col(text_col)
-    counts = docs.select(votes_udf(text).alias("p")).groupBy("p").count().collect()  # at most 3^11 rows
+    counts = docs.select(votes_udf(text).alias("p")).groupBy("p").count().collect()  # at most 3^10 rows
     patterns = np.array([unpacked(r["p"]) for r in counts], dtype=np.int64).reshape(-1, len(LABELLERS))
     numbers = np.array([r["count"] for r in counts], dtype=np.float64)
     model = LabelModel.fit(patterns, numbers)
@@ -270,6 +277,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     return model, Scorer.fit([r["t"] for r in rows], model.posterior(of) if len(rows) else np.zeros(0))
 
 
+def labeller_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``labeller``, ``accuracy``: the estimated chance that a vote it casts is right; a row for each labeller."""
+    model, _ = train(docs, id_col, text_col)
+    return docs.sparkSession.createDataFrame(list(zip(LABELLERS, model.accuracies().tolist())), "labeller string, accuracy double")
+
+
 def assess(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``votes``, ``posterior``, ``score``, ``keep`` (score >= threshold).
 
