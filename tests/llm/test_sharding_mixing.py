@@ -1,8 +1,11 @@
 import math
+import random
+import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from webquarry.llm import mixing, sharding
 from webquarry.llm.token_count import counter
@@ -48,9 +51,76 @@ def test_layout_walks_clockwise():
         assert mine[0][3] == own or all(r[3] != own for r in mine)  # its own shard first, or that was full
 
 
-def brute_use(rows, plan_rows):
-    """How often each source's documents can come: whole epochs and a part within the rest."""
-    return {s: (e, rest) for s, _, _, e, rest, _ in plan_rows}
+def test_ring_walk_equals_brute_force(spark):
+    """Every row one by one: its own shard while that has room, then clockwise from its own point."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 5, i]), f"text {rng.randrange(250)}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards, vnodes = 5, 7
+    keyed = df.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 48).alias("cell"), F.xxhash64("doc_id", "text").alias("h")).collect()
+    points = sharding.ring(shards, vnodes)
+    at = {c: next((i for i, (p, _) in enumerate(points) if p >= c), 0) for c in {r.cell for r in keyed}}
+    natural = Counter(points[at[r.cell]][1] for r in keyed)
+    low, extra = divmod(len(rows), shards)
+    room = {s: low + (n < extra) for n, s in enumerate(sorted(range(shards), key=lambda s: (-natural[s], s)))}
+    want, over = Counter(), []
+    for r in sorted(keyed, key=lambda r: (r.cell, r.h)):
+        s = points[at[r.cell]][1]
+        if room[s]:
+            room[s] -= 1
+            want[r.doc_id, r.text, s] += 1
+        else:
+            over.append(r)
+    for r in over:
+        i = at[r.cell]
+        while not room[points[i][1]]:
+            i = (i + 1) % len(points)
+        room[points[i][1]] -= 1
+        want[r.doc_id, r.text, points[i][1]] += 1
+    got = sharding.assign(df, shards, vnodes, carry=True)
+    crc = {zlib.crc32(t.encode()): t for _, t in rows}
+    assert len(over) > 10 and Counter((r.doc_id, crc[r.text_crc32], r["shard"]) for r in got.collect()) == want
+
+
+def test_an_id_that_all_rows_share_is_spread(spark):
+    df = spark.createDataFrame([(None, f"t{i}") for i in range(4000)], "doc_id long, text string")
+    cells = df.select(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 48).alias("c")).groupBy("c").count().agg(F.max("count")).first()[0]
+    assert cells < 5
+    check_shards(sharding.assign(df).collect(), 8)
+
+
+def brute_part(mine, rest, seed, spark):
+    """The documents of a part epoch, chosen one by one from ``mine`` (block, h, copy, n_tokens), and how often each block comes."""
+    epoch = mine[0]["epoch"]
+    hashes = spark.createDataFrame(mine).select("*", F.xxhash64(F.lit(seed), F.col("epoch"), F.col("source"), F.col("block").cast("int")).alias("turn"), F.xxhash64(F.lit(seed), F.col("epoch"), "h", F.col("copy").cast("int")).alias("place")).collect()
+    left, out = rest, []
+    for block in sorted({(r.turn, r.block) for r in hashes}):
+        rows = sorted((r for r in hashes if r.block == block[1]), key=lambda r: (r.place, r.h, r.copy, r.n_tokens))
+        whole = sum(r.n_tokens for r in rows)
+        if left <= 0:
+            break
+        for r in rows:
+            if whole <= left or r.n_tokens <= left - sum(n for b, n, _ in out if b == block[1]):
+                out.append((r.block, r.n_tokens, r.doc_id))
+        left -= whole
+    assert epoch is not None
+    return Counter(d for _, _, d in out)
+
+
+def test_part_epoch_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 60)
+    rows = [(i, " ".join(["w"] * (i % 13)), "hot" if i % 4 else f"s{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = mixing.Mix(df, None, 0.97, 1.5, 11, "doc_id", "text", "source")
+    got = mixing.mix(df, target=0.97, repeats=1.5, seed=11).collect()
+    plan = {s.s: s for s in m.sources.collect()}
+    checked = 0
+    for source, p in plan.items():
+        mine = [{"epoch": p.epochs, "source": source, "block": r.block, "h": r.h, "copy": r.copy, "n_tokens": r.n_tokens, "doc_id": r.doc_id} for r in m.rows.where(F.col("source") == source).collect()]
+        if p.rest:
+            assert Counter(r.doc_id for r in got if r.source == source and r.epoch == p.epochs) == brute_part(mine, p.rest, 11, spark)
+            checked += 1
+    assert checked >= 2
 
 
 @pytest.mark.parametrize("repeats", [1.5, 3.0, None])

@@ -1,14 +1,14 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
 The ring has 65,536 cells. Each shard owns ``vnodes`` points; a document's cell is the top 16
-bits of its id's hash, and its shard is that of the next point clockwise. No shard takes more
+bits of a hash of its id and text, so that an id that many rows share is spread, and its shard is that of the next point clockwise. No shard takes more
 than its bound, floor or ceil of rows/shards; documents beyond a full shard continue clockwise
 to the next point whose shard has room. Bounds add up to the number of rows, so counts are at
 most one apart (law ``rows``), and documents whose shard isn't full stay where the plain ring has them.
 
 Only the cells' counts (at most 65,536 numbers) reach the driver, which lays out runs of each
-cell; rows take their place from their rank in the cell. Cells hold 1/65,536 of the rows, so no window
-grows into a large share of the data.
+cell; rows take their place from their rank in the cell. Cells hold 1/65,536 of the rows, but for rows that repeat
+both id and text, which share a cell: their window is sorted with spilling.
 """
 
 from __future__ import annotations
@@ -73,11 +73,11 @@ def assign(docs: DataFrame, shards: int = 8, vnodes: int = 256, id_col: str = "d
 
     size = UTF-8 bytes plus 1 (null text: 1; its CRC is that of the empty text, 0). slot is gapless from 0 in
     each shard. grown_shard is null, as bounds make a shard depend on all rows. With ``carry`` the
-    input's other columns follow, where their names don't clash. Null ids hash like any id; repeated rows each
+    input's other columns follow, where their names don't clash. Null ids and texts hash like any; repeated rows each
     get a slot of their own; an empty table gives no rows.
     """
     text = F.col(text_col)
-    h = F.xxhash64(F.col(id_col), F.lit(0))
+    h = F.xxhash64(F.col(id_col), text)
     own = [
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
