@@ -12,7 +12,7 @@ def response(ord_, url, html="", status=200, **kw):
 
 @pytest.fixture()
 def parse(spark):
-    return lambda *rows: p.parsed_pages(spark.createDataFrame(list(rows), SCHEMA))
+    return lambda *rows: p.parsed_pages(spark.createDataFrame(list(rows), SCHEMA), "contacts")
 
 
 @pytest.fixture()

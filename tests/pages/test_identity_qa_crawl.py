@@ -3,6 +3,7 @@ import json
 import threading
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from webquarry import cli
@@ -77,19 +78,28 @@ def test_answers(spark, responses):
     assert got[0].excerpt.startswith("Acme Vault is a tool") and got[3].confidence == 0.0 and 0 < got[0].confidence <= 1
 
 
-def test_question_analysis():
-    q = qf.analysed('What is the "blue whale" used for?')
-    assert (q["intent"], q["subject"]) == ("DEFINITION", '"blue whale"') and q["phrases"][0] == '"blue whale"' and "blue whale" in q["phrases"]
-    assert [qf.analysed(x)["intent"] for x in ("how much is it", "where is the lab", "how do i apply", "our founder", "eligibility rules", "red cars")] == ["PRICE_COST", "LOCATION", "PROCEDURAL", "LEADERSHIP_ABOUT", "REQUIREMENTS", "GENERAL"]
-    assert qf.analysed("can you tell me about the it?")["terms"] == [] and qf.analysed(None)["terms"] == []
+def analysed(spark, *questions):
+    df = spark.createDataFrame([(x,) for x in questions], "question string").select(qf.analyse(F.col("question")).alias("q"))
+    return [r.q for r in df.collect()]
+
+
+def test_question_analysis(spark):
+    q, many, none = analysed(spark, 'What is the "blue whale" used for?', "red engine trains run", "can you tell me about the it?")
+    assert (q.intent, q.subject) == ("DEFINITION", '"blue whale"') and q.phrases[0] == '"blue whale"' and "blue whale" in q.phrases
+    assert many.phrases == ["red engine", "red engine trains", "engine trains", "engine trains run", "trains run"] and many.subject_pattern == ""
+    assert many.search == ["red", "engine", "trains", "run", "train"] and many.stems == ["red", "engine", "train", "run"]
+    assert [x.intent for x in analysed(spark, "how much is it", "where is the lab", "how do i apply", "our founder", "eligibility rules", "red cars")] == ["PRICE_COST", "LOCATION", "PROCEDURAL", "LEADERSHIP_ABOUT", "REQUIREMENTS", "GENERAL"]
+    empty, = analysed(spark, None)
+    assert none.terms == [] and none.pronouns == ["it"] and empty.terms == [] and empty.phrases == [] and empty.intent == "GENERAL"
+    what, = analysed(spark, "What is a c++ .net runtime?")
+    assert what.subject == "c++ .net runtime" and what.subject_pattern == r"\Qc++ .net runtime\E|\Q.net runtime\E|\Qc++ .net\E"
 
 
 def test_excerpt(spark):
     first, best, after = "Nothing is here. " * 6, "The red engine pulls heavy trains over the hills. ", "It never stops. "
-    q = qf.analysed("red engine trains")
-    rows = spark.createDataFrame([(first + best + after + "Filler text goes on and on. " * 9, "red engine trains"), ("short one", "x")], "text string, question string").withColumn("q", qf.analyse("question"))
+    rows = spark.createDataFrame([(first + best + after + "Filler text goes on and on. " * 9, "red engine trains"), ("short one", "x")], "text string, question string").withColumn("q", qf.analyse(F.col("question")))
     got = [r.e for r in rows.select(qa.excerpt(F.col("text"), F.col("q")).alias("e")).collect()]
-    assert got == [(best + after).strip(), "short one"] and q["terms"] == ["red", "engine", "trains"]
+    assert got == [(best + after).strip(), "short one"]
 
 
 def test_crawl(spark):
@@ -109,30 +119,90 @@ def test_crawl(spark):
     assert flagged.robots_disallowed
 
 
-def test_live_fetch(spark):
-    class Site(http.server.BaseHTTPRequestHandler):
-        def do_GET(self):
-            if self.path == "/moved":
-                self.send_response(301)
-                self.send_header("Location", "/")
-            else:
-                self.send_response(200 if self.path == "/" else 404)
-                self.send_header("Content-Type", "text/html; charset=utf-8")
-            self.end_headers()
-            self.wfile.write("<title>é</title>".encode())
+class Site(http.server.BaseHTTPRequestHandler):
+    """A small site; ``asked`` collects (method, path)."""
+
+    asked: list = []
+    answers = {
+        "/": (200, '<title>é</title><a href="/a">a</a><a href="/private/x">p</a><a href="/moved">m</a><img src="/i.png" alt="x"><img src="/gone.png" alt="y"><img src="/odd.png" alt="z">'),
+        "/a": (200, "<title>a</title><p>The office is located at 12 Main Street, Springfield 50001.</p>"), "/private/x": (200, "<title>x</title>"),
+        "/robots.txt": (200, "User-agent: *\nDisallow: /private/"), "/i.png": (200, ""), "/odd.png": (200, ""),
+    }
+
+    def do_GET(self):
+        self.asked.append((self.command, self.path))
+        status, body = self.answers.get(self.path, (404, ""))
+        if self.path == "/moved":
+            self.send_response(301)
+            self.send_header("Location", "/")
+        elif self.path == "/odd.png" and self.command == "HEAD":
+            self.send_response(405)
+        else:
+            self.send_response(status)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+        self.end_headers()
+        if self.command == "GET":
+            self.wfile.write(body.encode())
 
-        def log_message(self, *a):
-            pass
+    do_HEAD = do_GET
 
+    def log_message(self, *a):
+        pass
+
+
+@pytest.fixture()
+def site():
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    root = f"http://127.0.0.1:{server.server_port}"
-    targets = spark.createDataFrame([(0, root + "/", 0), (1, root + "/moved", 1), (2, root + "/none", 1), (3, "http://127.0.0.1:9/", 1)], "page_ord long, url string, depth int")
-    got = web.fetch_all(targets, timeout=3, delay=0).orderBy("page_ord").collect()
-    titles = [r.title for r in p.parsed_pages(web.fetch_all(targets.limit(1), delay=0)).collect()]
+    Site.asked.clear()
+    yield f"http://127.0.0.1:{server.server_port}"
     server.shutdown()
-    assert titles == ["é"]
-    assert [r.status for r in got] == [200, 200, 404, 0] and got[0].content == "<title>é</title>" and got[1].redirect_chain == [root + "/moved"] and got[3].error
+
+
+def test_live_fetch(spark, site):
+    targets = spark.createDataFrame([(0, site + "/", 0, False), (1, site + "/moved", 1, True), (2, site + "/none", 1, False), (3, "http://127.0.0.1:9/", 1, False)], "page_ord long, url string, depth int, robots_disallowed boolean")
+    got = web.fetch_all(targets, web.Client(timeout=3, delay=0)).orderBy("page_ord").collect()
+    assert [r.title for r in p.parsed_pages(web.fetch_all(targets.limit(1), web.Client(delay=0))).collect()] == ["é"]
+    assert [r.status for r in got] == [200, 200, 404, 0] and got[0].content.startswith("<title>é</title>") and got[1].redirect_chain == [site + "/moved"] and got[1].robots_disallowed and got[3].error
+
+
+def test_robots_files_by_status(spark, site, monkeypatch):
+    client = web.Client(timeout=3, delay=0)
+    rows = lambda *o: {r.origin: r.body for r in web.fetch_robots(spark.createDataFrame([(x,) for x in o], "origin string"), client).collect()}
+    assert rows(site, site, "http://127.0.0.1:9") == {site: Site.answers["/robots.txt"][1], "http://127.0.0.1:9": None}
+    for status, tries in ((404, 1), (410, 1), (503, 2), (401, 2)):
+        monkeypatch.setitem(Site.answers, "/robots.txt", (status, "User-agent: *\nDisallow: /"))
+        Site.asked.clear()
+        assert rows(site) == {site: None} and len(Site.asked) == tries
+
+
+def test_live_command_line(spark, site, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    live = ["--url", site, "--delay", "0", "--timeout", "3"]
+    assert cli.main(live, spark) == 0
+    found = {(r["metric"], r["page"].removeprefix(site)) for r in json.loads((tmp_path / "outputs/audit.json").read_text())}
+    summary = json.loads((tmp_path / "outputs/audit_summary.json").read_text())
+    assert [u.removeprefix(site) for u in summary["urls"]] == ["", "/a", "/"] and ("GET", "/private/x") not in Site.asked
+    assert ("broken_image", "") in found and ("HEAD", "/gone.png") in Site.asked and ("GET", "/odd.png") in Site.asked
+    assert len([r for r in json.loads((tmp_path / "outputs/audit.json").read_text()) if r["metric"] == "broken_image" and r["page"] == site]) == 1
+    assert cli.main([*live, "--ignore-robots", "--no-ssl-verify", "--verbose", "--query", "Where is the office located?", "--answer-file", "own/answer.json"], spark) == 0
+    assert ("GET", "/private/x") in Site.asked and json.loads((tmp_path / "own/answer.json").read_text())["url"] == site + "/a"
+    assert "12 Main Street" in capsys.readouterr().out
+    assert cli.main([*live, "--nap"], spark) == 0 and "address" in capsys.readouterr().out
+
+
+def test_script_only_pages_are_rendered(spark):
+    schema = "requested_url string, final_url string, status int, headers map<string,string>, content string, redirect_chain array<string>, error string"
+    shell = '<body><div id="root"></div></body>'
+    rows = [("https://s.example/", "https://s.example/", 200, {}, shell, [], None), ("https://s.example/b", "https://s.example/b", 200, {}, "<title>b</title>" + shell.replace("root", "main"), [], None)]
+    asked: list = []
+
+    def render(shells):
+        asked.extend(r.url for r in shells.collect())
+        return shells.withColumn("rendered_html", F.lit('<title>made</title><a href="/b">b</a>'))
+
+    got = crawl.crawl(spark.createDataFrame(rows, schema), "https://s.example", render=render, spark=spark).orderBy("page_ord").collect()
+    assert [r.title for r in got] == ["made", "b"] and asked == ["https://s.example/"]
 
 
 def test_command_line(spark, sf, tmp_path, monkeypatch):

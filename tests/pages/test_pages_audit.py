@@ -1,6 +1,6 @@
 import json
 
-from webquarry.functions.dom import parsed
+from webquarry.functions.dom import Page, parsed, text_of
 from webquarry.operators import audit
 from webquarry.sinks import reports
 from webquarry.streaming import pages as stream
@@ -31,14 +31,28 @@ def test_projections(parse):
     assert [x.title for x in r[1:]] == [None, None] and [x.links for x in r[1:]] == [[], []]
 
 
+def texts(html, tag):
+    return [text_of(e) for e in Page(html).order if e.tag == tag]
+
+
 def test_tree():
-    d = parsed(FULL)
-    tags = {n["tag"]: n for n in d["nodes"]}
-    assert [n["text"] for n in d["nodes"] if n["tag"] == "p"] == ["One two three", "four five six"]
-    assert [n["text"] for n in d["nodes"] if n["tag"] == "li"] == ["a", "b"] and tags["ul"]["above"][:3] == ["ul", "body", "html"]
-    assert parsed("") is None and parsed(None) is None and parsed("just text")["visible"] == "just text"
-    assert parsed("<p>" * 3000 + "x" + "</b></i>")["body"] == "x"
-    assert parsed("<table><tr><td>1<td>2<tr><td>3</table>")["strings"] == ["1", "2", "3"]
+    assert texts(FULL, "p") == ["One two three", "four five six"] and texts(FULL, "li") == ["a", "b"]
+    li = next(e for e in Page(FULL).order if e.tag == "li")
+    assert [li.parent.tag, li.parent.parent.tag, li.parent.parent.parent.tag] == ["ul", "body", "html"]
+    assert parsed("") is None and parsed(None) is None and parsed("just text")["seo"]["visible"] == "just text"
+    assert parsed("<p>" * 3000 + "x" + "</b></i>")["passages"]["body"] == "x"
+    assert parsed("<table><tr><td>1<td>2<tr><td>3</table>")["contacts"]["strings"] == ["1", "2", "3"]
+
+
+def test_projections_stay_slim():
+    """Deep nesting makes no more output than the page has text, and takes time in proportion."""
+    def size(x):
+        return len(x) if isinstance(x, str) else sum(map(size, x.values() if isinstance(x, dict) else x)) if isinstance(x, dict | list | tuple) else 0
+
+    for depth in (10, 400):
+        html = "<div class='c'>" * depth + "".join(f"<p>word {i} of the text</p>" for i in range(200)) + "</div>" * depth
+        for family in ("seo", "passages", "contacts"):
+            assert size(parsed(html, "https://a.example/", (family,))) <= 2 * 200 * 24
 
 
 def test_rules(parse):

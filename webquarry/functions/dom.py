@@ -1,15 +1,11 @@
-"""HTML to relational nodes: a tolerant tree builder on the standard parser, behind one Arrow function.
+"""HTML to page projections: a tolerant tree builder on the standard parser, behind one Arrow function.
 
-``parse_dom(html)`` gives a struct:
+``parse_dom(html, url, families)`` gives a struct with one field for each family asked for, so that only what a
+query needs leaves the parser; the tree itself never does:
 
-* ``nodes``: one entry per element in document order: ``pos``; ``until`` (position of its last descendant);
-  ``tag``; ``attrs``; ``joined`` (all its text, stripped); ``text`` (its stripped strings joined by spaces);
-  ``raw`` (the element written out again); ``above`` (its tags and those of its ancestors, itself first),
-  ``marks`` (class and id of the same elements), ``in_head``; for content elements also ``chunk`` (text
-  without dropped elements), ``nested`` (holds other content elements) and ``headings`` (the breadcrumb there);
-* ``visible``: body text without scripts, styles, svg, header, footer, nav;
-* ``body``: body text without scripts, styles, svg, canvas, templates;
-* ``strings``: the document's stripped strings in order; ``has_body``.
+* ``seo``: what the audit's rules look at (title, metas, links, images, headings, canonicals, visible text);
+* ``passages``: content elements with breadcrumbs and boilerplate flags, and the page's body text;
+* ``contacts``: candidates of a business's name, address and phone (see ``contacts``).
 
 One builder serves all queries. Elements that HTML closes implicitly are closed, unmatched end tags are
 ignored, comments are dropped, and text of script, style and template counts only for these elements themselves.
@@ -18,13 +14,17 @@ ignored, comments are dropped, and text of script, style and template counts onl
 from __future__ import annotations
 
 import re
+from functools import cache
 from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .urls import joined as target_of
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "template"))
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
@@ -45,6 +45,12 @@ _CLOSES = {
 NOT_VISIBLE = frozenset("script style noscript svg header footer nav".split())
 NOT_PASSAGE = frozenset("script style noscript svg canvas template".split())
 CONTENT = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote dd dt td th address div".split())
+# Content elements that make passages even around others; tags, and class and id parts, of page furniture.
+AROUND = frozenset("p blockquote td th address".split())
+BOILERPLATE_TAGS = frozenset("header footer nav aside".split())
+BOILERPLATE_MARKS = ("cookie", "banner", "copyright", "footer", "navbar", "navigation", "site-header", "menu-drawer", "sidebar", "disclaimer", "popup", "modal")
+# Elements and attributes that load resources, in the order of the report.
+LOADS = (("script", "src"), ("link", "href"), ("img", "src"), ("iframe", "src"), ("video", "src"), ("audio", "src"), ("source", "src"))
 
 
 class Element:
@@ -149,76 +155,147 @@ def written_out(e: Element) -> str:
 
 
 _SPACES = re.compile(r"\s+")
-RAW = frozenset("title meta link img a script iframe video audio source".split()) | HEADINGS
-TEXTLESS = frozenset("html head body script style".split()) | VOID
-
-
-def parsed(html: str | None) -> dict | None:
+TEXTLESS = frozenset("html head body style".split()) | VOID
+
+
+class Page:
+    """A parsed page: ``root``, all elements in document ``order``, ``head`` and ``body`` if there are any."""
+
+    def __init__(self, html: str):
+        self.root, self.order = build(html)
+        self.head = next((e for e in self.order if e.tag == "head"), None)
+        self.body = next((e for e in self.order if e.tag == "body"), None)
+
+    def text(self, without: frozenset) -> str:
+        return spaced(strings(self.body or self.root, without))
+
+    def in_head(self, e: Element) -> bool:
+        return self.head is None or self.head.pos < e.pos <= self.head.until
+
+
+def attr(e: Element, name: str) -> str:
+    return e.attrs.get(name, "").strip()
+
+
+def joined(e: Element) -> str:
+    return "".join(strings(e)).strip()
+
+
+def text_of(e: Element) -> str:
+    return "" if e.tag in TEXTLESS else spaced(strings(e))
+
+
+def seo(page: Page, url: str | None) -> dict:
+    """The audit's projections; addresses are resolved against ``url``."""
+    out: dict = {"lang": None, "title": None, "title_raw": None, **{k: [] for k in ("meta", "canonical", "headings", "images", "links")}}
+    insecure: dict[tuple, list[str]] = {x: [] for x in LOADS}
+    loads = dict(LOADS)
+    html = title = None
+    for e in page.order:
+        tag = e.tag
+        if tag == "html" and html is None:
+            html = e
+            out["lang"] = attr(e, "lang") if "lang" in e.attrs else None
+        elif tag == "title" and title is None:
+            title = e
+            out["title"], out["title_raw"] = joined(e), written_out(e)
+        elif tag == "meta" and page.in_head(e):
+            out["meta"].append({"name": attr(e, "name").lower(), "prop": attr(e, "property").lower(), "content": attr(e, "content"), "raw": written_out(e)})
+        elif tag == "link" and "canonical" in attr(e, "rel").lower().split() and attr(e, "href"):
+            href = attr(e, "href")
+            out["canonical"].append({"href": href, "raw": written_out(e), "resolved": target_of(url, href) or href})
+        elif tag in HEADINGS:
+            out["headings"].append({"level": int(tag[1]), "text": joined(e), "raw": written_out(e)})
+        elif tag == "img":
+            src = attr(e, "src")
+            data = src.lower().startswith("data:")
+            out["images"].append({"src": src, "alt": attr(e, "alt") if "alt" in e.attrs else None, "has_alt": "alt" in e.attrs, "is_data_uri": data, "raw": written_out(e), "resolved": src if data else target_of(url, src) or src})
+        elif tag == "a":
+            href = attr(e, "href")
+            out["links"].append({"href": href, "text": joined(e), "rel": attr(e, "rel").lower().split(), "raw": written_out(e), "resolved": target_of(url, href) if href else "", "is_fragment": href.startswith("#")})
+        if tag in loads and attr(e, loads[tag]).lower().startswith("http://"):
+            insecure[tag, loads[tag]].append(written_out(e))
+    return out | {"insecure": [x for found in insecure.values() for x in found], "visible": page.text(NOT_VISIBLE)}
+
+
+def passages(page: Page) -> dict:
+    """Passages in document order, and the body's text without dropped elements. One pass up and one down the tree."""
+    dropped, furniture, holds = {-1: False}, {-1: False}, set()
+    for e in page.order:
+        up = e.parent.pos
+        marks = (e.attrs.get("class", "").lower(), e.attrs.get("id", "").lower())
+        dropped[e.pos] = dropped[up] or e.tag in NOT_PASSAGE
+        furniture[e.pos] = furniture[up] or e.tag in BOILERPLATE_TAGS or any(m in x for x in marks if x for m in BOILERPLATE_MARKS)
+    for e in reversed(page.order):
+        if e.tag not in NOT_PASSAGE and (e.tag in CONTENT or e.pos in holds):
+            holds.add(e.parent.pos)
+    found, crumbs, body = [], [], page.body
+    for e in page.order:
+        if e.tag not in CONTENT or dropped[e.pos] or not (body is None or body.pos < e.pos <= body.until):
+            continue
+        shown = e.pos not in holds or e.tag in AROUND
+        if not shown and e.tag not in HEADINGS:
+            continue
+        text = _SPACES.sub(" ", spaced(strings(e, NOT_PASSAGE))).strip()
+        if e.tag in HEADINGS and text:
+            level = int(e.tag[1])
+            crumbs = [*(c for c in crumbs if c[0] < level), (level, text)]
+        if shown:
+            found.append({"text": text, "tag": e.tag, "headings": [h for _, h in crumbs], "is_boilerplate": furniture[e.pos], "word_count": text.count(" ") + 1 if text else 0})
+    return {"found": found, "body": _SPACES.sub(" ", page.text(NOT_PASSAGE)).strip()}
+
+
+def parsed(html: str | None, url: str | None = None, families: tuple[str, ...] = ("seo", "passages", "contacts")) -> dict | None:
     """The struct of ``parse_dom`` for one page; null for null or empty html."""
+    from .contacts import contacts
+
     if not html:
         return None
-    root, order = build(html)
-    body = next((e for e in order if e.tag == "body"), None)
-    head = next((e for e in order if e.tag == "head"), None)
-    nodes = []
-    crumbs: list[tuple[int, str]] = []
-    lines: dict[int, tuple] = {-1: ((), ())}
-    for e in order:
-        up = lines[e.parent.pos]
-        mark = (e.attrs.get("class", "").lower(), e.attrs.get("id", "").lower())
-        lines[e.pos] = ((e.tag, *up[0]), (mark, *up[1]))
-        dropped = any(t in NOT_PASSAGE for t in lines[e.pos][0])
-        own = strings(e) if e.tag not in TEXTLESS or e.tag == "script" else []
-        chunk = nested = headings = None
-        if e.tag in CONTENT and not dropped and (body is None or body.pos < e.pos <= body.until):
-            chunk = _SPACES.sub(" ", spaced(strings(e, NOT_PASSAGE))).strip()
-            if e.tag in HEADINGS and chunk:
-                level = int(e.tag[1])
-                crumbs = [*(c for c in crumbs if c[0] < level), (level, chunk)]
-            nested = any(x.tag in CONTENT and not any(t in NOT_PASSAGE for t in lines_between(x, e)) for x in order[e.pos + 1 : e.until + 1])
-            headings = [h for _, h in crumbs]
-        nodes.append({
-            "pos": e.pos, "until": e.until, "tag": e.tag, "attrs": list(e.attrs.items()),
-            "joined": "".join(own).strip(), "text": spaced(own), "raw": written_out(e) if e.tag in RAW else None,
-            "above": list(lines[e.pos][0]), "marks": [{"classes": c, "id": i} for c, i in lines[e.pos][1]],
-            "in_head": head is None or head.pos < e.pos <= head.until, "chunk": chunk, "nested": nested, "headings": headings,
-        })
-    of = body or root
-    return {
-        "nodes": nodes,
-        "visible": spaced(strings(of, NOT_VISIBLE)),
-        "body": _SPACES.sub(" ", spaced(strings(of, NOT_PASSAGE))).strip(),
-        "strings": [s for s in (x.strip() for x in strings(root)) if s],
-        "has_body": body is not None,
-    }
-
-
-def lines_between(x: Element, top: Element):
-    while x is not top:
-        yield x.tag
-        x = x.parent
-
-
-_S = T.StringType()
-NODE = T.StructType([
-    T.StructField("pos", T.IntegerType()), T.StructField("until", T.IntegerType()), T.StructField("tag", _S),
-    T.StructField("attrs", T.MapType(_S, _S)), T.StructField("joined", _S), T.StructField("text", _S), T.StructField("raw", _S),
-    T.StructField("above", T.ArrayType(_S)), T.StructField("marks", T.ArrayType(T.StructType([T.StructField("classes", _S), T.StructField("id", _S)]))),
-    T.StructField("in_head", T.BooleanType()), T.StructField("chunk", _S), T.StructField("nested", T.BooleanType()), T.StructField("headings", T.ArrayType(_S)),
-])
-DOM = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("visible", _S), T.StructField("body", _S), T.StructField("strings", T.ArrayType(_S)), T.StructField("has_body", T.BooleanType())])
-
-
-def _arrow_type(t: T.DataType) -> pa.DataType:
+    page, make = Page(html), {"seo": lambda p: seo(p, url), "passages": passages, "contacts": contacts}
+    return {f: make[f](page) for f in families}
+
+
+def _struct(fields: str) -> T.StructType:
+    return T._parse_datatype_string(f"struct<{fields}>")
+
+
+@cache
+def dom_type(families: tuple[str, ...]) -> T.StructType:
+    kinds = {
+        "seo": (
+            "lang string, title string, title_raw string, meta array<struct<name string, prop string, content string, raw string>>, canonical array<struct<href string, raw string, resolved string>>, "
+            "headings array<struct<level int, text string, raw string>>, images array<struct<src string, alt string, has_alt boolean, is_data_uri boolean, raw string, resolved string>>, "
+            "links array<struct<href string, text string, rel array<string>, raw string, resolved string, is_fragment boolean>>, insecure array<string>, visible string"
+        ),
+        "passages": "found array<struct<text string, tag string, headings array<string>, is_boilerplate boolean, word_count int>>, body string",
+        "contacts": "entities array<struct<name string, phone string, address string, context string>>, items array<struct<name string, phone string, address string, context string>>, calls array<struct<href string, text string>>, addresses array<string>, site string, brands array<string>, alts array<string>, strings array<string>",
+    }
+    return _struct(", ".join(f"{f} struct<{kinds[f]}>" for f in families))
+
+
+@cache
+def _arrow_type(families: tuple[str, ...]) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(t)
+    return to_arrow_type(dom_type(families))
+
+
+AT_ONCE = 200  # pages whose projections are Python objects at a time
+
+
+def parsed_batch(html: pa.Array, urls: pa.Array, families: tuple[str, ...], kind: pa.DataType) -> pa.Array:
+    parts = []
+    for at in range(0, len(html), AT_ONCE):
+        rows = zip(html.slice(at, AT_ONCE).to_pylist(), urls.slice(at, AT_ONCE).to_pylist())
+        parts.append(pa.array([parsed(h, u, families) for h, u in rows], kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
-def parsed_batch(html: pa.Array) -> pa.Array:
-    return pa.array([parsed(h) for h in html.to_pylist()], _arrow_type(DOM))
+def parse_dom(html: Column, url: Column, families: tuple[str, ...]) -> Column:
+    kind = _arrow_type(families)
 
+    @F.arrow_udf(dom_type(families))
+    def run(pages: pa.Array, urls: pa.Array) -> pa.Array:
+        return parsed_batch(pages, urls, families, kind)
 
-@F.arrow_udf(DOM)
-def parse_dom(html: pa.Array) -> pa.Array:
-    return parsed_batch(html)
+    return run(html, url)

@@ -1,7 +1,7 @@
 """On-page quality audit: rules as filtered projections, site checks as aggregates, one findings table.
 
 Page rules are an array of optional findings built in one projection over the parsed page, so all of them
-run in a single narrow pass. Site rules group by their key; a popular key is aggregated before it shuffles
+run in a single narrow pass; parsed pages are written once, as site rules read them too. Site rules group by their key; a popular key is aggregated before it shuffles
 and its findings come from a join on the key, so that no task holds a whole group.
 """
 
@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import and_more, samples, snippet, strip
-from .pages import link_edges, success
+from ..plans.work import once
+from .pages import image_targets, link_edges, success
 
 # How severe each metric is; unknown metrics are medium.
 SEVERITY = {
@@ -145,7 +147,7 @@ def _missing_href(pages: DataFrame) -> DataFrame:
 def duplicates(pages: DataFrame, column: str, metric: str, what: str) -> DataFrame:
     """A finding for each successful page that shares its value (trimmed, lower case) with another."""
     value = F.lower(strip(F.col(column)))
-    rows = pages.where(success() & (F.coalesce(F.col(column), F.lit("")) != "")).select("page_ord", "final_url", F.col(column).alias("shown"), value.alias("k")).where("k <> ''")
+    rows = once(pages, "parsed").where(success() & (F.coalesce(F.col(column), F.lit("")) != "")).select("page_ord", "final_url", F.col(column).alias("shown"), value.alias("k")).where("k <> ''")
     # The first pages of each group by order: min-based, so partial sums shrink popular groups before the shuffle.
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("page_ord", "shown")).alias("first")).where("n > 1")
     ranked = rows.join(groups.select("k"), "k", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("page_ord", "final_url"))).where("r <= 4")
@@ -160,6 +162,7 @@ def broken_links(pages: DataFrame, tracking=urls.TRACKING) -> DataFrame:
     The status table is keyed by the normalised final and requested addresses; the last fetch wins.
     """
     n = lambda c: urls.normalize(c, tracking)
+    pages = once(pages, "parsed")
     rows = pages.select("page_ord", "status", n(F.col("final_url")).alias("a"), n(F.col("requested_url")).alias("b"))
     keyed = rows.select("page_ord", "status", F.posexplode(F.array("a", "b")).alias("i", "target"))
     known = keyed.groupBy("target").agg(F.max_by("status", F.struct("page_ord", "i")).alias("target_status")).where("target_status >= 400")
@@ -171,9 +174,7 @@ def broken_links(pages: DataFrame, tracking=urls.TRACKING) -> DataFrame:
 
 def broken_images(pages: DataFrame, assets: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     """Images among the first ``assets_per_page`` of a page whose status in ``assets`` (url, status) is an error."""
-    seen = F.filter("images", lambda i: ~i["is_data_uri"] & (i["src"] != ""))
-    rows = pages.where(success() & (F.col("content") != "")).select("page_ord", "final_url", F.posexplode(F.slice(seen, 1, cfg.assets_per_page)).alias("pos", "i"))
-    rows = rows.where(F.col("i.resolved").rlike("^(?i)https?://")).withColumn("url", F.col("i.resolved"))
+    rows = image_targets(pages, cfg.assets_per_page)
     bad = assets.groupBy("url").agg(F.max("status").alias("asset_status")).where("asset_status >= 400")
     said = _say("Image '", snippet(F.col("i.raw"), 80), "' answers HTTP ", F.col("asset_status"), ": ", F.col("url"))
     return rows.join(bad, "url").select("page_ord", (F.col("pos") + 50).alias("rule"), finding(F.lit(True), "broken_image", said, "Replace or remove the image.").alias("f"))
@@ -189,8 +190,7 @@ def findings(pages: DataFrame, cfg: AuditConfig = AuditConfig(), assets: DataFra
 
     Equal (metric, page, evidence) count once; the first by rule order stays. Rows come sorted by severity, page, metric.
     """
-    from functools import reduce
-
+    pages = once(pages, "parsed")
     own = pages.select("page_ord", F.posexplode(F.array(*page_findings(cfg))).alias("rule", "f")).where("f IS NOT NULL")
     parts = [own, _missing_href(pages), duplicates(pages, "title", "duplicate_title", "title"), duplicates(pages, "meta_description", "duplicate_meta_description", "meta description"), broken_links(pages, cfg.tracking)]
     if assets is not None:

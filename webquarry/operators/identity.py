@@ -1,6 +1,6 @@
 """Name, address and phone of a business: occurrences on pages, verdicts of consistency, confidence.
 
-Extraction is narrow: arrays per page, exploded. Comparison groups by field (and by any further
+Extraction is narrow: the parser's candidates as arrays per page, exploded; occurrences are written once, as many aggregates read them. Comparison groups by field (and by any further
 ``by`` columns, such as the site): distinct values are aggregated first, so a value on millions of pages
 is one row; phones that are suffixes of longer ones are found by an equi-join on suffixes.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as fn
 from ..functions import urls
 from ..functions.text import any_contains, strip
+from ..plans.work import once, settled
 
 # What marks contact pages, phones and addresses.
 CONTACT_TERMS = ("contact", "about", "location", "locations", "store", "stores", "find-us", "findus", "reach-us", "reachus", "branches", "offices")
@@ -22,17 +23,6 @@ PHONE_TERMS = ("contact", "about", "location", "office", "branch", "store")
 PHONE_LABELS = ("phone", "telephone", "tel", "call", "mobile", "whatsapp", "contact")
 ADDRESS_LABELS = ("address", "location", "office", "branch")
 PHONE_PATTERNS = (r"\+\d[\d\s().-]{7,}\d", r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b", r"\b\d{5}[-.\s]\d{5}\b", r"\b\d{10}\b")
-# What isn't a site's brand.
-NOISE = (
-    "question", "questions", "interview", "premium", "free", "intern", "engineer", "campus", "test", "tests", "available", "rating", "reviews", "review", "learn more", "read more", "view all",
-    "explore", "sign in", "login", "register", "home", "about us", "contact us", "privacy policy", "terms of service", "menu", "search", "navigation", "categories", "category", "tags", "tag", "blog",
-    "pricing", "pricing plan", "monthly", "yearly", "dashboard", "subscribe", "cart", "checkout", "all rights reserved", "all rights", "copyright", "solved", "solutions", "contribute", "practice",
-    "company", "companies", "problems", "topics", "experience", "experiences", "assessment", "assessments",
-)
-LISTS = ("card", "item", "list", "grid", "table", "directory", "question", "article", "post", "entry", "catalog", "row", "col", "badge", "category", "topic", "testimonial", "review", "partner", "sponsor", "client", "problem", "snippet", "dropdown", "modal", "tab")
-CONTENT_TAGS = ("article", "section", "table", "tbody", "tr", "td")
-GENERIC_ALT = ("logo", "icon", "brand", "image", "search", "menu", "arrow", "close", "banner", "avatar")
-
 _OCC = "array<struct<field:string,raw:string,normal:string,source_type:string,quality:double,context:string,entity:string>>"
 
 
@@ -66,18 +56,18 @@ def _unseen(cands: Column, keys, stays) -> Column:
     return F.aggregate(cands, start, step, lambda acc: acc["kept"])
 
 
-def phones(nodes: Column, text: Column, hint: Column, context: Column) -> Column:
+def phones(calls: Column, text: Column, hint: Column, context: Column) -> Column:
     """tel and messaging links, labelled numbers, and on contact pages any number."""
-    links = F.filter(nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href"))
 
     def from_link(n):
-        href = strip(F.element_at(n["attrs"], "href"))
+        href = n["href"]
         low = F.lower(href)
         tel, wa = low.startswith("tel:"), low.contains("wa.me/")
-        raw = F.when(tel, strip(F.substring(href, 5, 1 << 20))).when(wa | low.contains("api.whatsapp.com/send"), F.regexp_extract(href, r"(?:wa\.me/|phone=)(\+?\d+)", 1)).otherwise("")
+        raw = F.when(tel, strip(F.regexp_replace(href, "(?s)^....", ""))).when(wa | low.contains("api.whatsapp.com/send"), F.regexp_extract(href, r"(?:wa\.me/|phone=)(\+?\d+)", 1)).otherwise("")
         raw = F.when((raw == "") & (tel | wa), n["text"]).otherwise(raw)
         return _occ("phone", raw, fn.phone(raw, hint), "html_tel_link", 0.85, F.when(n["text"] != "", F.substring(n["text"], 1, 300)).otherwise(href))
 
+    links = calls
     groups = [F.transform(links, from_link)]
     for label in PHONE_LABELS:
         pattern = F.lit(rf"(?i){label}\s*[:\-]?\s*(\+?\d[\d\s().-]{{7,}}\d)")
@@ -91,9 +81,9 @@ def phones(nodes: Column, text: Column, hint: Column, context: Column) -> Column
     return _unseen(cands, lambda x: F.array(x["normal"], x["raw"]), free)
 
 
-def addresses(nodes: Column, lines: Column) -> Column:
+def addresses(texts: Column, lines: Column) -> Column:
     """<address> elements and labelled lines."""
-    tags = F.transform(F.filter(nodes, lambda n: (n["tag"] == "address") & (n["text"] != "")), lambda n: _occ("address", n["text"], fn.address(n["text"]), "html_address_tag", 0.8, F.substring(n["text"], 1, 500)))
+    tags = F.transform(texts, lambda t: _occ("address", t, fn.address(t), "html_address_tag", 0.8, F.substring(t, 1, 500)))
     groups = [tags]
     for label in ADDRESS_LABELS:
         pattern = F.lit(rf"(?i){label}\s*[:\-]\s*([^\n]{{8,250}})")
@@ -104,83 +94,41 @@ def addresses(nodes: Column, lines: Column) -> Column:
     return _unseen(F.concat(*groups), lambda x: F.array(F.lower(x["raw"])), lambda x, seen: ~F.array_contains(seen, F.lower(x["raw"])))
 
 
-def brand_element(n: Column) -> Column:
-    """Whether an element can be the site's brand: short, no noise, not within content or lists."""
-    text, low = n["text"], F.lower(n["text"])
-    word_count = F.size(F.split(strip(text), "(?U)\\s+"))
-    stop = F.array_position(F.transform(n["above"], lambda t: t.isin("body", "html")), F.lit(True))
-    depth = F.when(stop > 0, stop - 1).otherwise(F.size(n["above"])).cast("int")
-    tags, marks = F.slice(n["above"], 1, depth), F.slice(n["marks"], 1, depth)
-    listed = F.exists(marks, lambda m: (any_contains(m["classes"], LISTS) | any_contains(m["id"], LISTS)) & ~m["classes"].contains("navbar-brand") & ~m["classes"].contains("site-branding"))
-    return F.length(text).between(2, 50) & (word_count <= 5) & ~text.contains("\n") & ~text.contains(";") & ~any_contains(low, NOISE) & ~F.exists(tags, lambda t: t.isin(*CONTENT_TAGS)) & ~listed
-
-
-def names(nodes: Column, title: Column) -> Column:
+def names(site: Column, brands: Column, alts: Column, title: Column) -> Column:
     """og:site_name, brand elements, logo alt texts, and the brand part of the title, best first."""
-    attr = lambda n, k: F.coalesce(F.try_element_at(n["attrs"], F.lit(k)), F.lit(""))
-    metas = F.filter(nodes, lambda n: n["tag"] == "meta")
-    og = F.coalesce(F.get(F.filter(metas, lambda n: attr(n, "property") == "og:site_name"), F.lit(0)), F.get(F.filter(metas, lambda n: attr(n, "name") == "og:site_name"), F.lit(0)))
-    site = strip(F.coalesce(F.try_element_at(og["attrs"], F.lit("content")), F.lit("")))
     made = lambda raw, kind, q, context: _occ("name", raw, fn.business_name(raw), kind, q, context, raw)
-    groups = [_when((site != "") & (F.length(site) <= 80), made(site, "html_og_site_name", 0.85, F.concat(F.lit("og:site_name "), site)))]
-    token = lambda n, c: F.array_contains(F.split(attr(n, "class"), "\\s+"), c)
-    under = lambda n, *tags: F.exists(F.slice(n["above"], 2, F.greatest(F.size(n["above"]), F.lit(1))), lambda t: t.isin(*tags))
-    selectors = (
-        lambda n: token(n, "navbar-brand"),
-        lambda n: attr(n, "class").contains("site-title"),
-        lambda n: attr(n, "class").contains("site-name"),
-        lambda n: token(n, "site-branding"),
-        lambda n: (n["tag"] == "a") & (attr(n, "href") == "/") & under(n, "header", "nav"),
-    )
-    for s in selectors:
-        hits = F.filter(nodes, s)
-        hits = F.when(F.size(hits) <= 3, F.filter(hits, brand_element)).otherwise(F.filter(hits, lambda n: F.lit(False)))
-        groups.append(F.transform(hits, lambda n: made(n["text"], "html_brand_element", 0.75, F.substring(n["text"], 1, 300))))
-    by_mark = lambda n: F.exists(F.slice(n["marks"], 2, F.greatest(F.size(n["marks"]), F.lit(1))), lambda m: F.array_contains(F.split(m["classes"], "\\s+"), "navbar-brand") | F.array_contains(F.split(m["classes"], "\\s+"), "site-logo"))
-    logos = F.filter(nodes, lambda n: (n["tag"] == "img") & F.map_contains_key(n["attrs"], "alt") & (under(n, "header", "nav") | by_mark(n)))
-    alts = F.filter(F.transform(logos, lambda n: strip(attr(n, "alt"))), lambda a: F.length(a).between(1, 60) & (F.size(F.split(a, "(?U)\\s+")) <= 5) & ~F.lower(a).isin(*GENERIC_ALT))
-    groups.append(F.transform(alts, lambda a: made(a, "html_logo_alt", 0.4, F.concat(F.lit("alt "), a))))
+    groups = [
+        _when((site != "") & (F.length(site) <= 80), made(site, "html_og_site_name", 0.85, F.concat(F.lit("og:site_name "), site))),
+        F.transform(brands, lambda t: made(t, "html_brand_element", 0.75, F.substring(t, 1, 300))),
+        F.transform(alts, lambda a: made(a, "html_logo_alt", 0.4, F.concat(F.lit("alt "), a))),
+    ]
     brand = fn.title_brand(title)
     groups.append(_when(brand != "", made(brand, "html_title", 0.3, F.substring(F.coalesce(title, F.lit("")), 1, 300))))
     return _unseen(F.filter(F.concat(*groups), lambda x: x["normal"] != ""), lambda x: F.array(x["normal"]), lambda x, seen: ~F.array_contains(seen, x["normal"]))
 
 
-def structured(nodes: Column, entities: Column) -> Column:
-    """Occurrences of JSON-LD entities, then of microdata items (last value of a property wins)."""
+def structured(entities: Column, items: Column) -> Column:
+    """Occurrences of JSON-LD entities, then of microdata items."""
     of = lambda e, kind, q: F.concat(
         _when(e["name"] != "", _occ("name", e["name"], fn.business_name(e["name"]), kind, q, e["context"], e["name"])),
         _when(e["phone"] != "", _occ("phone", e["phone"], fn.phone(e["phone"]), kind, q, e["context"], e["name"])),
         _when(e["address"] != "", _occ("address", e["address"], fn.address(e["address"]), kind, q, e["context"], e["name"])),
     )
-    attr = lambda n, k: F.coalesce(F.try_element_at(n["attrs"], F.lit(k)), F.lit(""))
-    kind_of = lambda n: F.substring_index(attr(n, "itemtype"), "/", -1)
-    items = F.filter(nodes, lambda n: attr(n, "itemtype").contains("schema.org/") & (kind_of(n).isin(*fn.BUSINESS_TYPES) | kind_of(n).endswith("Business")))
-
-    def item(n):
-        props = F.filter(nodes, lambda m: (m["pos"] > n["pos"]) & (m["pos"] <= n["until"]) & F.map_contains_key(m["attrs"], "itemprop"))
-        value = lambda m: F.when(attr(m, "content") != "", attr(m, "content")).when(attr(m, "value") != "", attr(m, "value")).otherwise(m["text"])
-        pairs = F.filter(F.transform(props, lambda m: F.struct(F.get(F.split(F.trim(attr(m, "itemprop")), "\\s+"), F.lit(0)).alias("k"), value(m).alias("v"))), lambda p: p["v"] != "")
-        get = lambda k: F.coalesce(F.try_element_at(F.filter(pairs, lambda p: p["k"] == k), F.lit(-1))["v"], F.lit(""))
-        whole = F.array_join(F.filter(F.array(*map(get, fn.ADDRESS_FIELDS)), lambda x: x != ""), ", ")
-        return F.struct(get("name").alias("name"), get("telephone").alias("phone"), whole.alias("address"), F.substring(n["text"], 1, 500).alias("context"))
-
-    ld = F.flatten(F.transform(F.coalesce(entities, F.array().cast("array<struct<name:string,phone:string,address:string,context:string>>")), lambda e: of(e, "json_ld", 1.0)))
-    return F.concat(ld, F.flatten(F.transform(F.transform(items, item), lambda e: of(e, "microdata", 0.9))))
+    return F.concat(F.flatten(F.transform(entities, lambda e: of(e, "json_ld", 1.0))), F.flatten(F.transform(items, lambda e: of(e, "microdata", 0.9))))
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """All occurrences of parsed pages, a row each, without repeats of (field, raw, url, source_type).
+    """All occurrences of pages parsed with their contacts, a row each, without repeats of (field, raw, url, source_type).
 
     ``ord`` is the order of evidence: pages by priority, then page order; structured data before html.
     """
-    nodes = F.col("dom.nodes")
-    scripts = F.transform(F.filter(nodes, lambda n: (n["tag"] == "script") & (F.try_element_at(n["attrs"], F.lit("type")) == "application/ld+json")), lambda n: n["joined"])
-    df = pages.where("dom IS NOT NULL").withColumn("entities", fn.jsonld_entities(scripts)).withColumn("nodes", nodes)
-    df = df.withColumn("all_text", F.array_join("dom.strings", " ")).withColumn("lines", F.array_join("dom.strings", "\n"))
+    c = lambda name: F.col(f"contacts.{name}")
+    df = pages.where("contacts IS NOT NULL")
+    df = df.withColumn("all_text", F.array_join(c("strings"), " ")).withColumn("lines", F.array_join(c("strings"), "\n"))
     heads = F.transform("headings", lambda h: h["text"])
     df = df.withColumn("priority", priority(F.col("final_url"), F.col("title"), heads)).withColumn("hint", fn.country_hint(urls.host(F.col("final_url")), F.col("all_text")))
     context = F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit(" "), F.lower(F.array_join(heads, " ")), F.lit(" "), F.lower(F.col("final_url")))
-    every = F.concat(structured(F.col("nodes"), F.col("entities")), phones(F.col("nodes"), F.col("all_text"), F.col("hint"), context), addresses(F.col("nodes"), F.col("lines")), names(F.col("nodes"), F.col("title")))
+    every = F.concat(structured(c("entities"), c("items")), phones(c("calls"), F.col("all_text"), F.col("hint"), context), addresses(c("addresses"), F.col("lines")), names(c("site"), c("brands"), c("alts"), F.col("title")))
     rows = df.select("page_ord", F.col("final_url").alias("url"), "priority", F.posexplode(every).alias("seq", "o")).select("page_ord", "url", "priority", "seq", "o.*")
     rows = rows.withColumn("ord", F.struct((-F.col("priority")).alias("p"), "page_ord", "seq"))
     first = rows.groupBy("field", "raw", "url", "source_type").agg(F.min(F.struct("ord", "normal", "quality", "context", "entity", "priority")).alias("m"))
@@ -203,6 +151,7 @@ def reports(occ: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or []
     key = [*by, "field"]
+    occ = once(occ, "occurrences")
     if "priority" not in occ.columns:
         occ = occ.withColumn("priority", F.lit(0.4))
     occ = occ.withColumn("priority", F.coalesce("priority", F.lit(0.4)))

@@ -1,14 +1,13 @@
-"""Responses and parsed pages: DOM projections as expressions over the node array."""
+"""Responses and parsed pages: one parse for each page, and its projections as columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import urls
-from ..functions.dom import NODE, parse_dom
-from ..functions.text import strip, words_of
+from ..functions.dom import parse_dom
+from ..functions.text import words_of
 
 #: Schema of a fetched page; see ``responses_from_pages`` for the defaults.
 RESPONSE = (
@@ -30,34 +29,31 @@ def success() -> Column:
     return F.col("status").between(200, 299)
 
 
-def with_dom(responses: DataFrame) -> DataFrame:
-    """Adds ``dom``; the parser only sees successful pages with content."""
+def with_dom(responses: DataFrame, *families: str) -> DataFrame:
+    """Adds ``dom`` with the families asked for; the parser only sees successful pages with content."""
     html = F.when(success() & (F.col("content") != ""), F.coalesce("rendered_html", "content") if "rendered_html" in responses.columns else F.col("content"))
-    return responses.withColumn("dom", parse_dom(html))
+    return spread(responses).withColumn("dom", parse_dom(html, F.col("final_url"), families))
 
 
-def _tag(*names: str):
-    return lambda n: n["tag"].isin(*names)
+def spread(responses: DataFrame) -> DataFrame:
+    """The rows over all cores where there are fewer files than cores: parsing costs more than moving the pages then."""
+    if responses.isStreaming:
+        return responses
+    files, cores = len(responses.inputFiles()), responses.sparkSession.sparkContext.defaultParallelism
+    return responses.repartition(cores) if 0 < files < cores else responses
 
 
-def _attr(n: Column, name: str) -> Column:
-    return strip(F.coalesce(F.try_element_at(n["attrs"], F.lit(name)), F.lit("")))
-
-
-def _starts_http(attr: str):
-    return lambda n: F.lower(_attr(n, attr)).startswith("http://")
-
-
-def parsed_pages(responses: DataFrame) -> DataFrame:
+def parsed_pages(responses: DataFrame, *more: str) -> DataFrame:
     """One row per response with all projections; narrow, so pages of any number stay where they are.
 
-    Pages that failed or are empty have null scalars and empty arrays.
+    Pages that failed or are empty have null scalars and empty arrays. ``more`` are further families of the
+    parser (``contacts``, ``passages``) as columns of these names, from the same parse.
     """
-    df = with_dom(responses).withColumn("nodes", F.coalesce("dom.nodes", F.array().cast(T.ArrayType(NODE))))
-    nodes, base = F.col("nodes"), F.col("final_url")
-    pick = lambda *names: F.filter(nodes, _tag(*names))
-    df = df.withColumn("meta", F.transform(F.filter(nodes, lambda n: (n["tag"] == "meta") & n["in_head"]), lambda n: F.struct(F.lower(_attr(n, "name")).alias("name"), F.lower(_attr(n, "property")).alias("prop"), _attr(n, "content").alias("content"), n["raw"].alias("raw"))))
-    meta = F.col("meta")
+    df = with_dom(responses, "seo", *more)
+    seo = lambda name: F.col(f"dom.seo.{name}")
+    kinds = {f.name: f.dataType for f in df.schema["dom"].dataType["seo"].dataType.fields}
+    listed = lambda name: F.coalesce(seo(name), F.array().cast(kinds[name]))
+    meta = listed("meta")
     named = lambda name: F.filter(meta, lambda m: m["name"] == name)
     last = lambda a: F.try_element_at(a, F.lit(-1))
     first = lambda a: F.get(a, F.lit(0))
@@ -70,44 +66,21 @@ def parsed_pages(responses: DataFrame) -> DataFrame:
     og = F.transform(F.filter(meta, lambda m: m["prop"].startswith("og:") & (m["content"] != "")), lambda m: F.struct(m["prop"].alias("k"), m["content"].alias("v")))
     tw = F.filter(meta, lambda m: (m["name"].startswith("twitter:") | m["prop"].startswith("twitter:")) & (m["content"] != ""))
     tw = F.transform(tw, lambda m: F.struct(F.when(m["name"].startswith("twitter:"), m["name"]).otherwise(m["prop"]).alias("k"), m["content"].alias("v")))
-    rel = lambda n: F.split(F.lower(_attr(n, "rel")), "(?U)\\s+")
-    canon = F.filter(nodes, lambda n: (n["tag"] == "link") & F.array_contains(rel(n), "canonical") & (_attr(n, "href") != ""))
-    links = F.transform(pick("a"), lambda n: F.struct(_attr(n, "href").alias("href"), n["joined"].alias("text"), F.filter(rel(n), lambda r: r != "").alias("rel"), n["raw"].alias("raw"), n["attrs"]))
-    images = F.transform(pick("img"), lambda n: F.struct(_attr(n, "src").alias("src"), F.when(F.map_contains_key(n["attrs"], "alt"), _attr(n, "alt")).alias("alt"), F.map_contains_key(n["attrs"], "alt").alias("has_alt"), F.lower(_attr(n, "src")).startswith("data:").alias("is_data_uri"), n["raw"].alias("raw")))
-    insecure = F.flatten(F.array(*[
-        F.transform(F.filter(pick(t), _starts_http(a)), lambda n: n["raw"])
-        for t, a in (("script", "src"), ("link", "href"), ("img", "src"), ("iframe", "src"), ("video", "src"), ("audio", "src"), ("source", "src"))
-    ]))
-    words = words_of(F.col("dom.visible"))
-    html = first(pick("html"))
-    df = df.select(
-        *responses.columns, "dom",
-        F.when(F.map_contains_key(html["attrs"], "lang"), _attr(html, "lang")).alias("html_lang"),
-        first(pick("title"))["joined"].alias("title"), first(pick("title"))["raw"].alias("title_raw"),
+    words, base = words_of(seo("visible")), F.col("final_url")
+    links = F.transform(listed("links"), lambda x: x.withField("is_internal", F.coalesce(urls.same_site(base, x["resolved"]), F.lit(False))))
+    return df.select(
+        *responses.columns, *[F.col(f"dom.{f}").alias(f) for f in more],
+        seo("lang").alias("html_lang"), seo("title").alias("title"), seo("title_raw").alias("title_raw"),
         first(named("description"))["content"].alias("meta_description"), first(named("description"))["raw"].alias("meta_description_raw"),
         last(named("viewport"))["content"].alias("viewport"),
         F.filter(F.transform(named("robots"), lambda m: m["content"]), lambda c: c != "").alias("robots_meta"),
         last_wins(og).alias("open_graph"), last_wins(tw).alias("twitter_cards"),
         F.when(F.col("dom").isNotNull(), F.map_values(F.map_filter("headers", lambda k, v: F.lower(k) == "x-robots-tag"))).alias("x_robots_tag"),
-        F.transform(canon, lambda n: _attr(n, "href")).alias("canonical_hrefs"), F.transform(canon, lambda n: n["raw"]).alias("canonical_raw"),
-        F.transform(pick(*[f"h{i}" for i in range(1, 7)]), lambda n, i: F.struct(F.substring(n["tag"], 2, 1).cast("int").alias("level"), n["joined"].alias("text"), n["raw"].alias("raw"), i.alias("ord"))).alias("headings"),
-        images.alias("images"), links.alias("links"),
-        F.when(urls.scheme(base) == "https", insecure).otherwise(F.array().cast("array<string>")).alias("insecure"),
+        F.transform(listed("canonical"), lambda x: x["href"]).alias("canonical_hrefs"), F.transform(listed("canonical"), lambda x: x["raw"]).alias("canonical_raw"), F.transform(listed("canonical"), lambda x: x["resolved"]).alias("canonicals"),
+        F.transform(listed("headings"), lambda h, i: h.withField("ord", i)).alias("headings"), listed("images").alias("images"), links.alias("links"),
+        F.when(urls.scheme(base) == "https", listed("insecure")).otherwise(F.array().cast("array<string>")).alias("insecure"),
         F.coalesce(F.size(words), F.lit(0)).alias("visible_words"), F.array_join(F.slice(words, 1, 40), " ").alias("visible_snippet"),
     )
-    return resolved(df)
-
-
-def resolved(df: DataFrame) -> DataFrame:
-    """Adds the resolved targets of canonicals, images and links, and whether links are internal."""
-    base = F.col("final_url")
-    many = urls.resolve_many
-    df = df.withColumn("_c", many(base, F.col("canonical_hrefs"))).withColumn("_i", many(base, F.transform("images", lambda i: F.when(~i["is_data_uri"], i["src"])))).withColumn("_l", many(base, F.transform("links", lambda x: x["href"])))
-    canonical = F.transform("canonical_hrefs", lambda h, i: F.coalesce(F.get("_c", i), h))
-    images = F.transform("images", lambda x, i: x.withField("resolved", F.coalesce(F.get("_i", i), x["src"])))
-    links = F.transform("links", lambda x, i: x.withField("resolved", F.when(x["href"] == "", "").otherwise(F.get("_l", i))).withField("is_fragment", x["href"].startswith("#")))
-    links = F.transform(links, lambda x: x.withField("is_internal", F.coalesce(urls.same_site(base, x["resolved"]), F.lit(False))))
-    return df.withColumn("canonicals", canonical).withColumn("images", images).withColumn("links", links).drop("_c", "_i", "_l")
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -115,6 +88,13 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return pages.select("page_ord", F.col("final_url").alias("src"), F.posexplode("links").alias("link_pos", "l")).select("page_ord", "src", "link_pos", "l.*")
 
 
+def image_targets(pages: DataFrame, per_page: int) -> DataFrame:
+    """Of each good page, the first ``per_page`` images with an address, where it is http(s): page_ord, final_url, pos, i (the image), url."""
+    seen = F.filter("images", lambda i: ~i["is_data_uri"] & (i["src"] != ""))
+    rows = pages.where(success() & (F.col("content") != "")).select("page_ord", "final_url", F.posexplode(F.slice(seen, 1, per_page)).alias("pos", "i"))
+    return rows.where(F.col("i.resolved").rlike("^(?i)https?://")).withColumn("url", F.col("i.resolved"))
+
+
 def spa_shell(html: Column) -> Column:
     """A script-only page: a known root container, under five links, under 50 words in the body."""
     root = html.rlike(r"""(?i)<div\s+id\s*=\s*["'](?:root|app|__next|__nuxt|main-app)["']""")

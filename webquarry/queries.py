@@ -21,8 +21,8 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet")
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return pages.parsed_pages(pages.responses_from_pages(_pages(spark, d)))
+def _parsed(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return pages.parsed_pages(pages.responses_from_pages(_pages(spark, d)), *more)
 
 
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -315,7 +315,7 @@ def _(spark, d):
 @query("page_identity")
 def _(spark, d):
     """Name, address and phone reports of every site among the pages."""
-    occ = identity.occurrences(_parsed(spark, d)).withColumn("site", F.regexp_replace(urls.host(F.col("url")), r"^www\.", ""))
+    occ = identity.occurrences(_parsed(spark, d, "contacts")).withColumn("site", F.regexp_replace(urls.host(F.col("url")), r"^www\.", ""))
     return identity.reports(occ, ["site"]).select("site", "field", "verdict", "confidence", "occurrences")
 
 
