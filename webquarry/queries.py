@@ -1,9 +1,8 @@
 """Registered queries of the page analytics, and the DuckDB SQL that gives the same rows.
 
-Queries on ``pages`` or ``documents`` run over whole tables, but for ``stem``, ``tokenize``, ``bm25_idf`` and
-``bm25_topk``: RE2 has no Unicode word boundary, so that their SQL takes the English ASCII rows without underscore, and
-they follow it. The same names with ``_all`` run over the whole table and have no SQL. Inputs that the tables lack
-(images, redirects, structured data) come as literal rows, the same on both sides.
+Queries on tables run over whole tables. Inputs that the tables lack (images, redirects, structured data) come as literal rows,
+the same on both sides, and the SQL computes from them; only ``url_resolve``, ``nap_verdicts`` and ``jsonld_entities`` (and the
+verdicts within ``nap_confidence``) state expected answers.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from .functions import identity as fn
 from .functions import questions as qf
 from .functions import urls
 from .operators import audit, crawl, identity, pages, qa
+from .plans.work import settled
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -98,12 +98,20 @@ def _(spark, d):
     return _pages(spark, d).select("page_id", urls.is_page(F.col("url")).alias("is_page"))
 
 
-_LOOPS = [("https://a.example/x/y/z", False), ("https://a.example/c/i/c/i", True), ("https://a.example/a/b/a/c/a", True), ("https://a.example/1/2/3/4/5/6/7/8/9", True), ("https://a.example/", False), ("https://a.example/q/q", False), ("https://a.example/A/b/a/B", True)]
+_LOOPS = ["https://a.example/x/y/z", "https://a.example/c/i/c/i", "https://a.example/a/b/a/c/a", "https://a.example/1/2/3/4/5/6/7/8/9", "https://a.example/", "https://a.example/q/q", "https://a.example/A/b/a/B"]
+_LOOP_SQL = f"""
+WITH u AS (SELECT url FROM {_values_sql([(x,) for x in _LOOPS], 'url string')} UNION ALL SELECT url FROM pages UNION ALL SELECT url || '/a/b/a/b' FROM pages),
+s AS (SELECT url, list_filter(string_split(lower({_PATH}), '/'), lambda x: x <> '') AS seg FROM u)
+SELECT url, len(seg) > 8 OR coalesce(list_max(list_transform(seg, lambda x: len(list_filter(seg, lambda y: y = x)))), 0) >= 3
+  OR len(list_filter(range(1, len(seg) - 2), lambda i: seg[i] = seg[i + 2] AND seg[i + 1] = seg[i + 3])) > 0 AS loops FROM s
+"""
 
 
-@query("url_path_loop", f"SELECT url, expected AS loops FROM {_values_sql(_LOOPS, 'url string, expected boolean')}")
+@query("url_path_loop", _LOOP_SQL)
 def _(spark, d):
-    return _values(spark, _LOOPS, "url string, expected boolean").select("url", urls.loops(F.col("url")).alias("loops"))
+    own = _pages(spark, d).select("url")
+    rows = _values(spark, [(x,) for x in _LOOPS], "url string").union(own).union(own.select(F.concat("url", F.lit("/a/b/a/b"))))
+    return rows.select("url", urls.loops(F.col("url")).alias("loops"))
 
 
 _RESOLVE = [
@@ -171,51 +179,77 @@ def _(spark, d):
     return pages.link_edges(_parsed(spark, d)).groupBy(F.col("page_ord").alias("page_id")).agg(F.count("*").alias("links"), F.sum(F.col("is_internal").cast("long")).alias("internal"))
 
 
-_SPA = [("<body><div id='root'></div></body>", True), ('<BODY class="x"><DIV ID="app">few words</DIV><script>many words here</script></BODY>', True), ("<body><div id='root'></div>" + "<a href='/x'>l</a>" * 5 + "</body>", False), ("<body><div id='main'></div></body>", False), ("<body><div id='__next'>" + "word " * 60 + "</div></body>", False), ("", False)]
+_SPA = ["<body><div id='root'></div></body>", '<BODY class="x"><DIV ID="app">few words</DIV><script>many words here</script></BODY>', "<body><div id='root'></div>" + "<a href='/x'>l</a>" * 5 + "</body>", "<body><div id='main'></div></body>", "<body><div id='__next'>" + "word " * 60 + "</div></body>", ""]
+_SPA_TEXT = "regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1)"
+for _cut in ("script", "style", "noscript"):
+    _SPA_TEXT = f"regexp_replace({_SPA_TEXT}, '(?is)<{_cut}[^>]*>.*?</{_cut}>', '', 'g')"
+_SPA_SQL = f"""
+WITH h AS (SELECT html FROM {_values_sql([(x,) for x in _SPA], 'html string')} UNION ALL SELECT html FROM pages UNION ALL SELECT replace(html, '<article>', '<div id="app">') FROM pages),
+w AS (SELECT html, len(list_filter(regexp_split_to_array(regexp_replace({_SPA_TEXT}, '<[^>]+>', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS words, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=')) AS links FROM h)
+SELECT md5(html) AS page, regexp_matches(html, '(?i)<div\\s+id\\s*=\\s*["''](root|app|__next|__nuxt|main-app)["'']') AND links < 5 AND words < 50 AND regexp_matches(html, '(?is)<body[^>]*>.*</body>') AS shell FROM w
+"""
 
 
-@query("spa_shell", f"SELECT html, expected AS shell FROM {_values_sql(_SPA, 'html string, expected boolean')}")
+@query("spa_shell", _SPA_SQL)
 def _(spark, d):
-    return _values(spark, _SPA, "html string, expected boolean").select("html", pages.spa_shell(F.col("html")).alias("shell"))
+    own = _pages(spark, d).select("html")
+    rows = _values(spark, [(x,) for x in _SPA], "html string").union(own).union(own.select(F.replace("html", F.lit("<article>"), F.lit('<div id="app">'))))
+    return rows.select(F.md5("html").alias("page"), pages.spa_shell(F.col("html")).alias("shell"))
 
 
 # ---- audit
 
+def _shown(text: str, most: int = 140) -> str:
+    """SQL of ``snippet``."""
+    t = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({t}) <= {most} THEN {t} ELSE substr({t}, 1, {most - 3}) || '...' END"
+
+
+_TITLE_RAW = "'<title>' || replace(replace(replace(" + _UNESCAPE.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + ", '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title>'"
+_TITLE_SAID = f"'Title of ' || length(title) || ' characters: ''' || {_shown('title_raw')} || '''.'"
+_FIXES = {
+    "missing_title": "Add a descriptive title.", "title_too_short": "Write at least 30 characters.", "title_too_long": "Write at most 60 characters.", "missing_meta_description": "Describe the page in a meta description.",
+    "missing_viewport": "Set width=device-width in a viewport tag.", "missing_canonical": "Add a canonical link.", "missing_open_graph": "Add the Open Graph tags.", "insecure_http": "Serve the page over https.",
+    "empty_content": "Add content to the page's body.", "thin_content": "Write at least 200 words.", "missing_html_lang": "Set the language.", "duplicate_title": "Give each page its own title.",
+}
 _FOUND = f"""
-WITH b AS (SELECT page_id, url, {_TITLE} AS title, len({_WORDS}) AS words, {_LANG} AS lang FROM pages),
-k AS (SELECT lower(title) AS k FROM b WHERE title <> '' GROUP BY 1 HAVING count(*) > 1),
+WITH b AS (SELECT page_id, url, html, {_TITLE} AS title, {_TITLE_RAW} AS title_raw, len({_WORDS}) AS words, array_to_string(list_slice({_WORDS}, 1, 40), ' ') AS shown, {_LANG} AS lang FROM pages),
+d AS (SELECT lower(title) AS k, count(*) AS n, arg_min(title, page_id) AS first_title FROM b WHERE title <> '' GROUP BY 1 HAVING count(*) > 1),
+r AS (SELECT lower(title) AS k, url, row_number() OVER (PARTITION BY lower(title) ORDER BY page_id) AS r FROM b WHERE title <> ''),
+u AS (SELECT k, string_agg(url, ', ' ORDER BY r) AS urls FROM r WHERE r <= 4 GROUP BY k),
 f AS (
-  SELECT page_id, url, 'missing_title' AS metric, 'critical' AS severity FROM b WHERE title = ''
-  UNION ALL SELECT page_id, url, 'title_too_short', 'medium' FROM b WHERE title <> '' AND length(title) < 30
-  UNION ALL SELECT page_id, url, 'title_too_long', 'medium' FROM b WHERE length(title) > 60
-  UNION ALL SELECT page_id, url, 'missing_meta_description', 'high' FROM b
-  UNION ALL SELECT page_id, url, 'missing_viewport', 'high' FROM b
-  UNION ALL SELECT page_id, url, 'missing_canonical', 'medium' FROM b
-  UNION ALL SELECT page_id, url, 'missing_open_graph', 'low' FROM b
-  UNION ALL SELECT page_id, url, 'insecure_http', 'high' FROM b WHERE url LIKE 'http:%'
-  UNION ALL SELECT page_id, url, 'empty_content', 'high' FROM b WHERE words = 0
-  UNION ALL SELECT page_id, url, 'thin_content', 'medium' FROM b WHERE words > 0 AND words < 200
-  UNION ALL SELECT page_id, url, 'missing_html_lang', 'low' FROM b WHERE lang IS NULL
-  UNION ALL SELECT page_id, url, 'duplicate_title', 'high' FROM b WHERE lower(title) IN (SELECT k FROM k))
+  SELECT page_id, url, 'missing_title' AS metric, 'critical' AS severity, CASE WHEN html LIKE '%<title>%' THEN 'Empty title: ''<title></title>''.' ELSE 'The page has no title element.' END AS evidence FROM b WHERE title = ''
+  UNION ALL SELECT page_id, url, 'title_too_short', 'medium', {_TITLE_SAID} FROM b WHERE title <> '' AND length(title) < 30
+  UNION ALL SELECT page_id, url, 'title_too_long', 'medium', {_TITLE_SAID} FROM b WHERE length(title) > 60
+  UNION ALL SELECT page_id, url, 'missing_meta_description', 'high', 'The page has no meta description.' FROM b WHERE NOT regexp_matches(html, '(?i)<meta[^>]+name="description"')
+  UNION ALL SELECT page_id, url, 'missing_viewport', 'high', 'The page has no viewport meta tag.' FROM b WHERE NOT regexp_matches(html, '(?i)<meta[^>]+name="viewport"')
+  UNION ALL SELECT page_id, url, 'missing_canonical', 'medium', 'The page has no canonical link.' FROM b WHERE NOT regexp_matches(html, '(?i)<link[^>]+rel="canonical"')
+  UNION ALL SELECT page_id, url, 'missing_open_graph', 'low', 'Missing: og:title, og:description, og:image, og:url.' FROM b WHERE NOT regexp_matches(html, '(?i)<meta[^>]+property="og:')
+  UNION ALL SELECT page_id, url, 'insecure_http', 'high', 'Served without TLS: ' || url FROM b WHERE url LIKE 'http:%'
+  UNION ALL SELECT page_id, url, 'empty_content', 'high', '0 visible words.' FROM b WHERE words = 0
+  UNION ALL SELECT page_id, url, 'thin_content', 'medium', words || ' visible words: ''' || {_shown('shown', 100)} || '''.' FROM b WHERE words > 0 AND words < 200
+  UNION ALL SELECT page_id, url, 'missing_html_lang', 'low', 'The html element has no lang.' FROM b WHERE lang IS NULL
+  UNION ALL SELECT page_id, url, 'duplicate_title', 'high', 'Duplicate title ''' || {_shown('first_title', 80)} || ''' on ' || n || ' pages: ' || urls || CASE WHEN n > 4 THEN ' (and ' || (n - 4) || ' more)' ELSE '' END || '.' FROM b JOIN d ON lower(title) = d.k JOIN u ON u.k = d.k)
 """
+_FIX_SQL = "CASE metric " + " ".join(f"WHEN {_sql(m)} THEN {_sql(f)}" for m, f in _FIXES.items()) + " END"
 
 
-@query("full_audit", _FOUND + "SELECT metric, url AS page, severity, count(DISTINCT metric) AS n FROM f GROUP BY 1, 2, 3")
+@query("full_audit", _FOUND + f"SELECT DISTINCT metric, url AS page, severity, evidence, {_FIX_SQL} AS suggested_fix FROM f")
 def _(spark, d):
-    return audit.findings(_parsed(spark, d)).groupBy("metric", "page", "severity").agg(F.countDistinct("metric").alias("n"))
+    return audit.findings(_parsed(spark, d))
 
 
-@query("severity_breakdown", _FOUND + ", s(severity, r) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('info', 4)), u AS (SELECT DISTINCT metric, url, severity FROM f) SELECT s.severity, s.r AS rank, count(u.metric) AS n FROM s LEFT JOIN u ON u.severity = s.severity GROUP BY 1, 2")
+@query("severity_breakdown", _FOUND + ", s(severity, r) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('info', 4)), v AS (SELECT DISTINCT metric, url, severity, evidence FROM f) SELECT s.severity, s.r AS rank, count(v.metric) AS n FROM s LEFT JOIN v ON v.severity = s.severity GROUP BY 1, 2")
 def _(spark, d):
     return audit.severity_summary(audit.findings(_parsed(spark, d)))
 
 
-@query("metric_breakdown", _FOUND + "SELECT metric, count(DISTINCT url) AS n, count(DISTINCT url) AS pages FROM f GROUP BY metric")
+@query("metric_breakdown", _FOUND + "SELECT metric, count(DISTINCT url || evidence) AS n, count(DISTINCT url) AS pages FROM f GROUP BY metric")
 def _(spark, d):
     return audit.metric_summary(audit.findings(_parsed(spark, d)))
 
 
-@query("top_metrics", _FOUND + "SELECT metric, count(DISTINCT url) AS n, count(DISTINCT url) AS pages FROM f GROUP BY metric ORDER BY n DESC, metric LIMIT 8")
+@query("top_metrics", _FOUND + "SELECT metric, count(DISTINCT url || evidence) AS n, count(DISTINCT url) AS pages FROM f GROUP BY metric ORDER BY n DESC, metric LIMIT 8")
 def _(spark, d):
     return audit.top_metrics(audit.findings(_parsed(spark, d)))
 
@@ -223,44 +257,150 @@ def _(spark, d):
 _BROKEN = [(0, "https://a.example/", 200, "<a href='/ok'>o</a><a href='/gone'>g</a><a href='/gone?utm_source=x#f'>g2</a><a href='https://b.example/x'>e</a><a>none</a>"), (1, "https://a.example/ok", 200, "<a href='/err'>e</a>"), (2, "https://a.example/gone", 404, ""), (3, "https://a.example/err", 500, "")]
 
 
-@query("broken_links", "SELECT * FROM (VALUES ('https://a.example/', 2), ('https://a.example/ok', 1)) AS v(page, broken)")
+_BROKEN_SQL = f"""
+WITH p AS {_values_sql(_BROKEN, 'page_ord int, url string, status int, html string')},
+l AS (SELECT url, unnest(regexp_extract_all(html, 'href=''([^'']*)''', 1)) AS href FROM p WHERE status BETWEEN 200 AND 299),
+t AS (SELECT url, regexp_replace(regexp_replace(CASE WHEN href LIKE '/%' THEN 'https://a.example' || href ELSE href END, '#.*$', ''), '[?]utm_source=[^&]*$', '') AS target FROM l)
+SELECT t.url AS page, CAST(count(*) AS INT) AS broken FROM t JOIN p ON p.url = t.target WHERE p.status >= 400 GROUP BY 1
+"""
+
+
+@query("broken_links", _BROKEN_SQL)
 def _(spark, d):
-    r = _values(spark, [(o, u, u, s, {}, h, [], 0, None, False) for o, u, s, h in _BROKEN], "page_ord long, requested_url string, final_url string, status int, headers map<string,string>, content string, redirect_chain array<string>, depth int, error string, robots_disallowed boolean")
+    r = _values(spark, [(o, u, u, s, {}, h, [], 0, None, False) for o, u, s, h in _BROKEN], pages.RESPONSE)
     return audit.broken_links(pages.parsed_pages(r)).groupBy("f.page").agg(F.count("*").cast("int").alias("broken"))
 
 
+# Responses that make every rule fire: failures, redirects, metas, robots, headings, images, canonicals, contents.
+_HEAD = (
+    '<html lang="en"><head><title>{0}</title><meta name="description" content="{1}"><meta name="viewport" content="width=device-width"><link rel="canonical" href="{2}">'
+    + "".join(f'<meta property="og:{k}" content="v">' for k in ("title", "description", "image", "url")) + "{3}</head><body>{4}" + "word " * 210 + "</body></html>"
+)
+_TOP = "<h1>One heading</h1>"
+
+
+def _html(title: str, desc: str = "d" * 100, canon: str = "https://r.example/c", head: str = "", body: str = _TOP) -> str:
+    return _HEAD.format(title, desc, canon, head, body)
+
+
+_RESPONSES = [
+    (0, "ok", 200, _html("The only page that has no fault at all"), "", None, False), (1, "gone", 404, "", "", None, False), (2, "err", 503, "", "", None, False), (3, "down", 0, "", "", "timed out", False),
+    (4, "chain", 200, _html("A page at the end of a redirect chain", "a" * 99), "r1,r2", None, False), (5, "moved", 302, "", "r1", None, False), (6, "short", 200, _html("Short title", "b" * 20), "", None, False),
+    (7, "long", 200, _html("L" * 75, "c" * 200), "", None, False), (8, "twin1", 200, _html("Twins share their title and description", "t" * 90), "", None, False), (9, "twin2", 200, _html("Twins share their title and description", "t" * 90), "", None, False),
+    (10, "noindex", 200, _html("A page that robots should not index", "e" * 98, head='<meta name="robots" content="noindex, follow">'), "", None, False), (11, "clash", 200, _html("A page whose robots tags contradict", "f" * 97, head='<meta name="robots" content="index, noindex">'), "", None, True),
+    (12, "noh1", 200, _html("A page without a heading of level one", "g" * 96, body=""), "", None, False), (13, "twoh1", 200, _html("A page with two headings of level one", "h" * 95, body="<h1>a</h1><h1>b</h1><h2> </h2>"), "", None, False),
+    (14, "jump", 200, _html("A page that jumps over heading levels", "i" * 94, body="<h1>a</h1><h3>b</h3>"), "", None, False), (15, "img", 200, _html("A page with an image without alt text", "j" * 93, body=_TOP + '<img src="/a.png"><img src="/b.png" alt="b">'), "", None, False),
+    (16, "rel", 200, _html("A page with a relative canonical link", "k" * 92, canon="/rel"), "", None, False), (17, "twocanon", 200, _html("A page with two canonical links on it", "l" * 91, head='<link rel="canonical" href="https://r.example/d">'), "", None, False),
+    (18, "othercanon", 200, _html("A page whose canonical is another site", "m" * 89, canon="https://other.example/"), "", None, False), (19, "links", 200, _html("A page with an anchor that leads nowhere", "n" * 88, body=_TOP + '<a>none</a><a href="/ok"></a><a href="/gone">gone</a>'), "", None, False),
+    (20, "mixed", 200, _html("A page that loads an insecure script", "o" * 87, head='<script src="http://x.example/s.js"></script>'), "", None, False), (21, "bare", 200, '<html lang=""><head></head><body></body></html>', "", None, False),
+]
+_RULES_SQL = f"""
+WITH p AS {_values_sql(_RESPONSES, 'page_ord int, name string, status int, html string, chain string, error string, disallowed boolean')},
+b AS (SELECT *, status BETWEEN 200 AND 299 AS good, status BETWEEN 200 AND 299 AND html <> '' AS has, len(list_filter(string_split(chain, ','), lambda x: x <> '')) AS hops,
+  regexp_extract(html, '<title>([^<]*)', 1) AS title, regexp_extract(html, 'name="description" content="([^"]*)', 1) AS descr, regexp_extract(html, 'name="robots" content="([^"]*)', 1) AS robots,
+  regexp_extract_all(html, '<link rel="canonical" href="([^"]*)', 1) AS canon, regexp_extract_all(html, '<h([1-6])>[^<]*</h', 1) AS levels, regexp_extract_all(html, '<h[1-6]>([^<]*)</h', 1) AS heads FROM p),
+m AS (
+  SELECT name, unnest(list_filter([
+    CASE WHEN status = 0 THEN 'network_connection_error' WHEN status BETWEEN 400 AND 499 THEN 'http_client_error' WHEN status >= 500 THEN 'http_server_error' END,
+    CASE WHEN hops > 1 THEN 'redirect_chain_excessive' END, CASE WHEN hops > 0 AND status IN (302, 307) THEN 'redirect_temporary' END,
+    CASE WHEN has THEN CASE WHEN title = '' THEN 'missing_title' WHEN length(title) < 30 THEN 'title_too_short' WHEN length(title) > 60 THEN 'title_too_long' END END,
+    CASE WHEN has AND title <> '' AND title IN (SELECT title FROM b WHERE has GROUP BY title HAVING count(*) > 1) THEN 'duplicate_title' END,
+    CASE WHEN has THEN CASE WHEN descr = '' THEN 'missing_meta_description' WHEN length(descr) < 70 THEN 'meta_description_too_short' WHEN length(descr) > 160 THEN 'meta_description_too_long' END END,
+    CASE WHEN has AND descr <> '' AND descr IN (SELECT descr FROM b WHERE has GROUP BY descr HAVING count(*) > 1) THEN 'duplicate_meta_description' END,
+    CASE WHEN has AND html NOT LIKE '%width=device-width%' THEN 'missing_viewport' END,
+    CASE WHEN good AND robots LIKE '%noindex%' THEN 'robots_noindex' END, CASE WHEN good AND regexp_matches(robots, '(^|, )index') AND robots LIKE '%noindex%' THEN 'robots_conflicting' END,
+    CASE WHEN good AND disallowed THEN 'robots_txt_disallowed' END, CASE WHEN good AND name = 'noindex' THEN 'x_robots_noindex' END,
+    CASE WHEN has AND NOT list_contains(levels, '1') THEN 'missing_h1' WHEN has AND len(list_filter(levels, lambda x: x = '1')) > 1 THEN 'multiple_h1' END,
+    CASE WHEN has AND len(list_filter(heads, lambda x: trim(x) = '')) > 0 THEN 'empty_heading' END,
+    CASE WHEN has AND len(list_filter(range(2, len(levels) + 1), lambda i: CAST(levels[i] AS INT) > CAST(levels[i - 1] AS INT) + 1)) > 0 THEN 'heading_hierarchy_skipped' END,
+    CASE WHEN has AND len(list_filter(regexp_extract_all(html, '<img[^>]*>'), lambda x: x NOT LIKE '%alt=%')) > 0 THEN 'missing_image_alt' END,
+    CASE WHEN has THEN CASE len(canon) WHEN 0 THEN 'missing_canonical' WHEN 1 THEN NULL ELSE 'multiple_canonical' END END,
+    CASE WHEN has AND canon[1] LIKE '/%' THEN 'relative_canonical' END, CASE WHEN has AND canon[1] LIKE 'http%' AND canon[1] NOT LIKE 'https://r.example/%' THEN 'canonical_mismatch' END,
+    CASE WHEN has AND html LIKE '%<a>%' THEN 'missing_href' END, CASE WHEN has AND html LIKE '%"></a>%' THEN 'empty_anchor_text' END, CASE WHEN good AND html LIKE '%href="/gone"%' THEN 'broken_internal_link' END,
+    CASE WHEN html LIKE '%<script src="http:%' THEN 'mixed_content' END, CASE WHEN has AND html NOT LIKE '%og:title%' THEN 'missing_open_graph' END,
+    CASE WHEN has AND html LIKE '%<body></body>%' THEN 'empty_content' END, CASE WHEN has AND html LIKE '<html lang="">%' THEN 'invalid_html_lang' END
+  ], lambda x: x IS NOT NULL)) AS metric FROM b)
+SELECT metric, 'https://r.example/' || name AS page, CASE metric {" ".join(f"WHEN {_sql(m)} THEN {_sql(v)}" for m, v in audit.SEVERITY.items())} END AS severity FROM m
+"""
+
+
+@query("rule_findings", _RULES_SQL)
+def _(spark, d):
+    """Every rule on literal responses (the page named noindex also has the header)."""
+    at = "https://r.example/"
+    rows = [(o, at + n, at + n, s, {"X-Robots-Tag": "noindex"} if n == "noindex" else {}, h, [at + x for x in c.split(",") if x], 0, e, x) for o, n, s, h, c, e, x in _RESPONSES]
+    return audit.findings(pages.parsed_pages(_values(spark, rows, pages.RESPONSE))).select("metric", "page", "severity")
+
+
 # ---- identity
 
-_PHONES = [("+91 98765 43210", "", "919876543210"), ("0091-98765-43210", "", "919876543210"), ("098765 43210", "IN", "919876543210"), ("(212) 555-1234", "US", "12125551234"), ("020 7946 0958", "uk", "442079460958"), ("09876543210", "", "9876543210"), ("2125551234", "", "2125551234"), ("", "IN", ""), ("none", "", ""), ("919876543210", "IN", "919876543210")]
-_ADDRESSES = [("12 Main St., Springfield", "12 main street, springfield"), ("Apt 4,, 5th Ave;  NY", "apartment 4, 5th avenue, ny"), ("No. 7 MG Rd, Opp. Park.", "number 7 mg road, opposite park"), ("  ", ""), ("Bldg 3 Fl. 2 Blvd", "building 3 floor 2 boulevard"), ("stone strand", "stone strand")]
-_PARTS = [("12 Main St, Springfield, IL, 62701, USA", "12 main street", "springfield", "il", "62701"), ("1 MG Road, Hyderabad, Telangana 500001", "1 mg road", "hyderabad", "telangana", "500001"), ("5 Low Rd, York", "5 low road", "york", "", ""), ("Somewhere", "somewhere", "", "", "")]
-_NAMES = [("ABC Dental Pvt. Ltd.", "abc dental"), ("Acme, Inc.", "acme,"), ("Foo & Co", "foo &"), ("Bar GmbH", "bar"), ("  Plain   Name ", "plain name"), ("LLC", ""), ("(Quoted) LLP", "quoted")]
-_BRANDS = [("Best Clinic | ABC", "ABC"), ("About - ABC Dental", "ABC Dental"), ("Single", "Single"), ("x" * 60, ""), ("A – B", "B"), ("", ""), ("A | ", "A |")]
+_PHONES = [("+91 98765 43210", ""), ("0091-98765-43210", ""), ("098765 43210", "IN"), ("(212) 555-1234", "US"), ("020 7946 0958", "uk"), ("09876543210", ""), ("2125551234", ""), ("", "IN"), ("none", ""), ("919876543210", "IN")]
+_CODE = "CASE upper(trim(hint)) " + " ".join(f"WHEN {_sql(k)} THEN {_sql(v)}" for k, v in fn.DIAL_CODES.items()) + " ELSE '' END"
+_PHONE_SQL = f"""
+WITH r AS (SELECT * FROM {_values_sql(_PHONES, 'raw string, hint string')} UNION ALL SELECT CAST(o_orderkey * 7919 AS VARCHAR), 'IN' FROM orders UNION ALL SELECT '+' || o_custkey || ' ' || o_orderkey, '' FROM orders),
+d AS (SELECT raw, hint, trim(raw) AS t, regexp_replace(raw, '[^0-9]', '', 'g') AS n, {_CODE} AS code FROM r)
+SELECT raw, hint, CASE WHEN n = '' THEN '' WHEN starts_with(t, '+') THEN n WHEN starts_with(n, '00') AND length(n) > 4 THEN substr(n, 3)
+  WHEN code <> '' AND NOT starts_with(n, code) THEN code || regexp_replace(n, '^0', '') WHEN length(n) > 10 THEN regexp_replace(n, '^0', '') ELSE n END AS normal FROM d
+"""
+_ADDRESSES = ["12 Main St., Springfield", "Apt 4,, 5th Ave;  NY", "No. 7 MG Rd, Opp. Park.", "  ", "Bldg 3 Fl. 2 Blvd", "stone strand", "12 Main St, Springfield, IL, 62701, USA", "1 MG Road, Hyderabad, Telangana 500001", "5 Low Rd, York", "Somewhere"]
+_ADDRESS = "lower(trim(raw))"
+for _short, _full in fn.ABBREVIATIONS.items():
+    _ADDRESS = f"regexp_replace(regexp_replace({_ADDRESS}, '\\b{_short}[.]([\\s,;)-]|$)', '{_full}\\1', 'g'), '\\b{_short}\\b([^.]|$)', '{_full}\\1', 'g')"
+_ADDRESS = f"regexp_replace(trim(regexp_replace(regexp_replace({_ADDRESS}, '[,;]+', ', ', 'g'), '\\s+', ' ', 'g')), '[.,;:]+$', '')"
+_LINES = f"(SELECT raw FROM {_values_sql([(x,) for x in _ADDRESSES], 'raw string')} UNION ALL SELECT s_name || ' St., ' || s_suppkey || ' Low Rd; ' || (50000 + s_suppkey) FROM supplier)"
+_PLACE_SQL = f"""
+WITH n AS (SELECT raw, {_ADDRESS} AS n FROM {_LINES}), p AS (SELECT raw, n, list_filter(list_transform(string_split(n, ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM n)
+SELECT raw, coalesce(p[1], '') AS street, coalesce(p[2], '') AS locality, CASE WHEN len(p) >= 4 THEN p[3] WHEN len(p) = 3 THEN trim(regexp_replace(p[3], '[0-9]+', '', 'g')) ELSE '' END AS region,
+  CASE WHEN regexp_matches(n, '\\b[0-9]{{6}}\\b') THEN regexp_extract(n, '\\b([0-9]{{6}})\\b', 1) ELSE regexp_extract(n, '\\b([0-9]{{5}}(?:-[0-9]{{4}})?)\\b', 1) END AS postal_code FROM p
+"""
+_NAMES = ["ABC Dental Pvt. Ltd.", "Acme, Inc.", "Foo & Co", "Bar GmbH", "  Plain   Name ", "LLC", "(Quoted) LLP"]
+_NAME = "lower(trim(raw))"
+for _form in fn.LEGAL_FORMS:
+    _NAME = f"regexp_replace({_NAME}, '{_form}', '', 'g')"
+_MARKS = """[.,;:\\-|/\\\\()\\[\\]{}"']+"""
+_NAME = f"trim(regexp_replace(trim(regexp_replace({_NAME}, '\\s+', ' ', 'g')), {_sql('^' + _MARKS + '|' + _MARKS + '$')}, '', 'g'))"
+_BRANDS = ["Best Clinic | ABC", "About - ABC Dental", "Single", "x" * 60, "A – B", "", "A | "]
+_CUT = "list_filter(list_transform(string_split(t, {0}), lambda x: trim(x)), lambda x: x <> '')"
+_BRAND_SQL = (
+    f"WITH r AS (SELECT title, trim(title) AS t FROM {_values_sql([(x,) for x in _BRANDS], 'title string')} UNION ALL SELECT title, trim(title) FROM (SELECT {_TITLE} AS title FROM pages)) SELECT title, CASE "
+    + " ".join(f"WHEN contains(t, {_sql(x)}) AND len({_CUT.format(_sql(x))}) >= 2 THEN {_CUT.format(_sql(x))}[-1]" for x in ("|", " - ", " – ", " — "))
+    + " WHEN length(t) < 60 THEN t ELSE '' END AS brand FROM r"
+)
+
+
+def _lines(spark, d):
+    made = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat("s_name", F.lit(" St., "), "s_suppkey", F.lit(" Low Rd; "), F.col("s_suppkey") + 50000))
+    return _values(spark, [(x,) for x in _ADDRESSES], "raw string").union(made)
 
 
-@query("phone_normalize", f"SELECT raw, hint, expected AS normal FROM {_values_sql(_PHONES, 'raw string, hint string, expected string')}")
+@query("phone_normalize", _PHONE_SQL)
 def _(spark, d):
-    return _values(spark, _PHONES, "raw string, hint string, expected string").select("raw", "hint", fn.phone(F.col("raw"), F.col("hint")).alias("normal"))
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    rows = _values(spark, _PHONES, "raw string, hint string").union(o.select((F.col("o_orderkey") * 7919).cast("string"), F.lit("IN"))).union(o.select(F.concat(F.lit("+"), "o_custkey", F.lit(" "), "o_orderkey"), F.lit("")))
+    return rows.select("raw", "hint", fn.phone(F.col("raw"), F.col("hint")).alias("normal"))
 
 
-@query("address_normalize", f"SELECT raw, expected AS normal FROM {_values_sql(_ADDRESSES, 'raw string, expected string')}")
+@query("address_normalize", f"SELECT raw, {_ADDRESS} AS normal FROM {_LINES}")
 def _(spark, d):
-    return _values(spark, _ADDRESSES, "raw string, expected string").select("raw", fn.address(F.col("raw")).alias("normal"))
+    return _lines(spark, d).select("raw", fn.address(F.col("raw")).alias("normal"))
 
 
-@query("address_components", f"SELECT * FROM {_values_sql(_PARTS, 'raw string, street string, locality string, region string, postal_code string')}")
+@query("address_components", _PLACE_SQL)
 def _(spark, d):
-    return _values(spark, _PARTS, "raw string, a string, b string, c string, e string").select("raw", fn.address_parts(F.col("raw")).alias("p")).select("raw", "p.street", "p.locality", "p.region", "p.postal_code")
+    return _lines(spark, d).select("raw", fn.address_parts(F.col("raw")).alias("p")).select("raw", "p.street", "p.locality", "p.region", "p.postal_code")
 
 
-@query("name_normalize", f"SELECT raw, expected AS normal FROM {_values_sql(_NAMES, 'raw string, expected string')}")
+@query("name_normalize", f"SELECT raw, {_NAME} AS normal FROM (SELECT raw FROM {_values_sql([(x,) for x in _NAMES], 'raw string')} UNION ALL SELECT c_name || ' Pvt. Ltd.' FROM customer UNION ALL SELECT s_name FROM supplier)")
 def _(spark, d):
-    return _values(spark, _NAMES, "raw string, expected string").select("raw", fn.business_name(F.col("raw")).alias("normal"))
+    customer, supplier = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "supplier"))
+    rows = _values(spark, [(x,) for x in _NAMES], "raw string").union(customer.select(F.concat("c_name", F.lit(" Pvt. Ltd.")))).union(supplier.select("s_name"))
+    return rows.select("raw", fn.business_name(F.col("raw")).alias("normal"))
 
 
-@query("title_brand", f"SELECT title, expected AS brand FROM {_values_sql(_BRANDS, 'title string, expected string')}")
+@query("title_brand", _BRAND_SQL)
 def _(spark, d):
-    return _values(spark, _BRANDS, "title string, expected string").select("title", fn.title_brand(F.col("title")).alias("brand"))
+    rows = _values(spark, [(x,) for x in _BRANDS], "title string").union(_parsed(spark, d).select(F.coalesce("title", F.lit(""))))
+    return rows.select("title", fn.title_brand(F.col("title")).alias("brand"))
 
 
 def _documents(spark, d):
@@ -321,13 +461,13 @@ def _(spark, d):
 
 # ---- questions
 
-_TOK = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)*'), lambda w: length(w) > 1)"
+# RE2 only knows ASCII word boundaries: other letters, marks and digits become _, a word character that no token holds, all else a space.
+_ASCII = "regexp_replace(regexp_replace(lower(text), '[^\\x00-\\x7F\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+_TOK = f"list_filter(regexp_extract_all({_ASCII}, '\\b[a-z0-9]+(?:[-''][a-z0-9]+)*\\b'), lambda w: length(w) > 1)"
 _STEM1 = "CASE WHEN length(w) > 3 AND w LIKE '%ions' AND length(w) > 5 THEN substr(w, 1, length(w) - 1) ELSE w END"
 _STEM2 = "CASE WHEN length(w) > 3 AND w1 LIKE '%ion' AND length(w1) > 4 THEN substr(w1, 1, length(w1) - 3) ELSE w1 END"
 _STEM3 = "CASE WHEN length(w) <= 3 THEN w WHEN w2 LIKE '%ing' AND length(w2) >= 6 THEN substr(w2, 1, length(w2) - 3) WHEN w2 LIKE '%ly' AND length(w2) >= 5 THEN substr(w2, 1, length(w2) - 2) WHEN w2 LIKE '%ed' AND length(w2) >= 5 THEN substr(w2, 1, length(w2) - 2) WHEN w2 LIKE '%es' AND length(w2) >= 5 THEN substr(w2, 1, length(w2) - 2) WHEN w2 LIKE '%s' AND length(w2) >= 4 THEN substr(w2, 1, length(w2) - 1) ELSE w2 END"
-_ASCII = "documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F_]') AND NOT contains(text, '_')"
-_ASCII_SPARK = "lang = 'en' AND NOT text RLIKE '[^\\\\x00-\\\\x7F]' AND NOT contains(text, '_')"
-_EXPANDED = f"r AS (SELECT doc_id, unnest({_TOK}) AS w FROM {_ASCII}), r1 AS (SELECT doc_id, w, {_STEM1} AS w1 FROM r), r2 AS (SELECT doc_id, w, {_STEM2} AS w2 FROM r1), r3 AS (SELECT doc_id, w, {_STEM3} AS s FROM r2), t AS (SELECT doc_id, w AS term FROM r3 UNION ALL SELECT doc_id, s FROM r3 WHERE s <> w)"
+_EXPANDED = f"r AS (SELECT doc_id, unnest({_TOK}) AS w FROM documents), r1 AS (SELECT doc_id, w, {_STEM1} AS w1 FROM r), r2 AS (SELECT doc_id, w, {_STEM2} AS w2 FROM r1), r3 AS (SELECT doc_id, w, {_STEM3} AS s FROM r2), t AS (SELECT doc_id, w AS term FROM r3 UNION ALL SELECT doc_id, s FROM r3 WHERE s <> w)"
 
 
 def _stems(docs):
@@ -354,66 +494,61 @@ def _topk(docs):
 
 
 @query("stem", f"WITH {_EXPANDED} SELECT DISTINCT w AS word, s AS stem FROM r3")
-def _(spark, d):
-    return _stems(_documents(spark, d).where(_ASCII_SPARK))
-
-
-@query("tokenize", f"WITH {_EXPANDED} SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY doc_id")
-def _(spark, d):
-    return _token_counts(_documents(spark, d).where(_ASCII_SPARK))
-
-
-@query("bm25_idf", f"WITH {_EXPANDED}, n AS (SELECT count(*) AS n FROM {_ASCII}), f AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM f, n")
-def _(spark, d):
-    return _idf(_documents(spark, d).where(_ASCII_SPARK))
-
-
-@query("bm25_topk", f"WITH {_EXPANDED}, n AS (SELECT count(*) AS n FROM {_ASCII}), l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY doc_id), a AS (SELECT sum(len) * 1.0 / max(n) AS avg_len FROM l, n), f AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term), p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ({_in(_TERMS)}) GROUP BY 1, 2) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.6 + 0.4 * len / avg_len))), 4) AS score FROM p JOIN f USING (term) JOIN l USING (doc_id), n, a GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10")
-def _(spark, d):
-    return _topk(_documents(spark, d).where(_ASCII_SPARK))
-
-
-@query("stem_all")
 def _(spark, d):
     return _stems(_documents(spark, d))
 
 
-@query("tokenize_all")
+@query("tokenize", f"WITH {_EXPANDED} SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY doc_id")
 def _(spark, d):
     return _token_counts(_documents(spark, d))
 
 
-@query("bm25_idf_all")
+@query("bm25_idf", f"WITH {_EXPANDED}, n AS (SELECT count(*) AS n FROM documents), f AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM f, n")
 def _(spark, d):
     return _idf(_documents(spark, d))
 
 
-@query("bm25_topk_all")
+@query("bm25_topk", f"WITH {_EXPANDED}, n AS (SELECT count(*) AS n FROM documents), l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY doc_id), a AS (SELECT sum(len) * 1.0 / max(n) AS avg_len FROM l, n), f AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term), p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ({_in(_TERMS)}) GROUP BY 1, 2) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.6 + 0.4 * len / avg_len))), 4) AS score FROM p JOIN f USING (term) JOIN l USING (doc_id), n, a GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10")
 def _(spark, d):
     return _topk(_documents(spark, d))
 
 
-_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)', 1)"
+# Passages of the tables' pages, which hold nav lists, boxes, headings and paragraphs: marks at the tags that begin and end them.
+_MARKED = "regexp_replace(" + _BODY + ", '(?s)<!--.*?-->', '', 'g')"
+for _cut in ("script", "style", "noscript", "svg", "canvas", "template"):
+    _MARKED = f"regexp_replace({_MARKED}, '(?s)<{_cut}.*?</{_cut}>', '', 'g')"
+_MARKED = f"regexp_replace(regexp_replace({_MARKED}, '<(p|li|h[1-6]|div)( [^>]*)?>', chr(1) || '\\1' || chr(2), 'g'), '</(p|li|h[1-6]|div|article|nav|ul|footer|body)>|<(footer|article|nav)( [^>]*)?>', chr(3), 'g')"
+_CHUNKS = f"""
+WITH m AS (SELECT page_id, string_split({_MARKED}, chr(1))[2:] AS m, len(regexp_extract_all(split_part(html, '</nav>', 1), '<li')) AS in_nav FROM pages),
+x AS (SELECT page_id, in_nav, unnest(m) AS x, generate_subscripts(m, 1) AS i FROM m),
+c AS (SELECT page_id, i, i <= in_nav AS is_boilerplate, split_part(x, chr(2), 1) AS tag, trim(regexp_replace({_UNESCAPE.format("regexp_replace(split_part(split_part(x, chr(2), 2), chr(3), 1), '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM x),
+w AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS word_count FROM c),
+h AS (SELECT page_id, min(i) AS h1 FROM c WHERE tag = 'h1' AND text <> '' GROUP BY 1),
+k AS (SELECT w.page_id AS page_ord, i, tag, text, is_boilerplate, CAST(word_count AS INT) AS word_count, CASE WHEN i >= h1 THEN 1 ELSE 0 END AS breadcrumbs FROM w LEFT JOIN h USING (page_id) WHERE word_count >= CASE WHEN tag LIKE 'h_' THEN 1 ELSE 3 END)
+"""
 
 
-@query("chunks")
+@query("chunks", _CHUNKS + "SELECT page_ord, CAST(row_number() OVER (PARTITION BY page_ord ORDER BY i) - 1 AS INT) AS chunk_id, tag, text, is_boilerplate, word_count, breadcrumbs FROM k")
 def _(spark, d):
     return qa.chunks(pages.responses_from_pages(_pages(spark, d))).select("page_ord", "chunk_id", "tag", "text", "is_boilerplate", "word_count", F.size("headings").alias("breadcrumbs"))
 
 
-@query("boilerplate_share")
+@query("boilerplate_share", _CHUNKS + "SELECT tag, count(*) AS n, CAST(sum(CASE WHEN is_boilerplate THEN 1 ELSE 0 END) AS BIGINT) AS boilerplate FROM k GROUP BY tag")
 def _(spark, d):
     c = qa.chunks(pages.responses_from_pages(_pages(spark, d)))
     return c.groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.col("is_boilerplate").cast("long")).alias("boilerplate"))
 
 
-_SENTENCES = [("One. Two! Three?", ["One.", "Two!", "Three?"]), ("Uses v3.5 now.", ["5 now."]), ("No end", ["No end"]), ("", [])]
+_SENTENCES = ["One. Two! Three?", "Uses v3.5 now.", "No end", ""]
+_WS = "[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_SPANS = f"list_filter(list_transform(regexp_extract_all(text, '([^.!?]+[.!?]+(?:{_WS}+|$)|[^.!?]+$)', 1), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')"
 
 
-@query("sentence_spans", "SELECT * FROM (VALUES ('One. Two! Three?', 3, 'One.|Two!|Three?'), ('Uses v3.5 now.', 1, '5 now.'), ('No end', 1, 'No end'), ('', 0, '')) AS v(text, n, spans)")
+@query("sentence_spans", f"WITH t AS (SELECT text FROM {_values_sql([(x,) for x in _SENTENCES], 'text string')} UNION ALL SELECT text FROM documents) SELECT md5(text) AS passage, CAST(len({_SPANS}) AS INT) AS n, md5(array_to_string({_SPANS}, '|')) AS spans FROM t WHERE text IS NOT NULL")
 def _(spark, d):
     s = qf.sentences(F.col("text"))
-    return _values(spark, [(t,) for t, _ in _SENTENCES], "text string").select("text", F.size(s).alias("n"), F.array_join(s, "|").alias("spans"))
+    rows = _values(spark, [(t,) for t in _SENTENCES], "text string").union(_documents(spark, d).select("text")).where("text IS NOT NULL")
+    return rows.select(F.md5("text").alias("passage"), F.size(s).alias("n"), F.md5(F.array_join(s, "|")).alias("spans"))
 
 
 def _asked(spark, d):
@@ -423,7 +558,8 @@ def _asked(spark, d):
 @query("qa_rank")
 def _(spark, d):
     """The best passage of every benchmark item used as a question."""
-    return qa.best(qa.rank(qa.chunks(pages.responses_from_pages(_pages(spark, d))), _asked(spark, d))).select("qid", "page_url", "chunk_id", F.round("score", 4).alias("score"), F.round("coverage", 4).alias("coverage"))
+    passages = settled(qa.chunks(pages.responses_from_pages(_pages(spark, d))), "chunks")
+    return qa.best(qa.rank(passages, qa.ask(_asked(spark, d)), winners=True)).select("qid", "page_url", "chunk_id", F.round("score", 4).alias("score"), F.round("coverage", 4).alias("coverage"))
 
 
 @query("qa_answer")
@@ -432,13 +568,22 @@ def _(spark, d):
 
 
 _SITE = [("https://s.example/", "<a href='/a'>a</a><a href='/b'>b</a><a href='/f.pdf'>f</a><a href='https://o.example/'>o</a>", 200), ("https://s.example/a", "<a href='/'>r</a><a href='/c'>c</a><a href='/a#x'>x</a>", 200), ("https://s.example/b", "<a href='/c'>c</a><a href='/d'>d</a><a href='/x/y/x/y'>l</a>", 200), ("https://s.example/c", "<a href='/e'>e</a>", 200), ("https://s.example/d", "", 404)]
-_CRAWLED = [(0, "https://s.example/", 0, 200), (1, "https://s.example/a", 1, 200), (2, "https://s.example/b", 1, 200), (3, "https://s.example/c", 2, 200), (4, "https://s.example/d", 2, 404)]
+_CRAWL_SQL = f"""
+WITH RECURSIVE p AS {_values_sql(_SITE, 'url string, html string, status int')},
+e AS (SELECT url AS src, regexp_extract_all(html, 'href=''([^'']*)''', 1) AS hrefs FROM p),
+x AS (SELECT src, unnest(hrefs) AS h, generate_subscripts(hrefs, 1) AS i FROM e),
+l AS (SELECT src, i, regexp_replace(CASE WHEN h LIKE '/%' THEN 'https://s.example' || h ELSE h END, '#.*$', '') AS href FROM x),
+k AS (SELECT * FROM l WHERE href LIKE 'https://s.example/%' AND href NOT LIKE '%.pdf' AND href NOT LIKE '%/x/y/x/y'),
+w AS (SELECT 'https://s.example/' AS url, 0 AS depth, '' AS place, ['https://s.example/'] AS path UNION ALL SELECT k.href, depth + 1, place || chr(CAST(64 + k.i AS INT)), list_append(path, k.href) FROM w JOIN k ON k.src = w.url WHERE depth < 2 AND NOT list_contains(path, k.href)),
+f AS (SELECT url, min(depth) AS depth, arg_min(place, depth || place) AS place FROM w GROUP BY url)
+SELECT CAST(row_number() OVER (ORDER BY f.depth, place) - 1 AS INT) AS page_ord, f.url, f.depth, p.status FROM f JOIN p ON p.url = f.url
+"""
 
 
-@query("bfs_crawl", f"SELECT * FROM {_values_sql(_CRAWLED, 'page_ord int, url string, depth int, status int')}")
+@query("bfs_crawl", _CRAWL_SQL)
 def _(spark, d):
     r = _values(spark, [(u, u, s, {}, h, [], None) for u, h, s in _SITE], "requested_url string, final_url string, status int, headers map<string,string>, content string, redirect_chain array<string>, error string")
-    return crawl.crawl(r, "https://s.example", audit.AuditConfig(max_depth=2)).select(F.col("page_ord").cast("int").alias("page_ord"), F.col("final_url").alias("url"), "depth", "status")
+    return crawl.crawl(r, "https://s.example", audit.AuditConfig(max_depth=2), spark=spark).select(F.col("page_ord").cast("int").alias("page_ord"), F.col("final_url").alias("url"), "depth", "status")
 
 
 _JSONLD = [(1, '{"@type": "Store", "name": "A", "telephone": 5, "address": {"streetAddress": "1 X", "addressCountry": {"name": "IN"}}}'), (2, "[1, {\"@graph\": [{\"@type\": [\"Thing\", \"AutoBusiness\"], \"name\": {\"@id\": \"B\"}}]}]"), (3, "not json"), (4, '{"@type": "Person", "worksFor": {"@type": "Organization", "name": "C"}}')]
