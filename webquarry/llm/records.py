@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, settings
 from .token_count import WORDS, Cut, WordTable, byte_symbols, cut_at_spaces
 
 END_BYTE = b"\n"
 ROWS = 500  # records decoded at a time
 AT_ONCE = 100  # words joined to one text for the library
 FILE_BYTES = 24 << 20  # text bytes that one file takes about
+BATCH = "2000"  # rows of an Arrow batch
 TASKS = 20_000  # writing tasks at most; beyond, a task writes several files
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<qB")
@@ -190,7 +191,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, d
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = slim.repartitionByRange(int(min(files, TASKS)), *order).sortWithinPartitions(*order, F.col("text"))
     frames = ordered.mapInArrow(encoded, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", END_BYTE.decode()).option("maxRecordsPerFile", 2 * max(1, -(-rows // files))).text(path)
+    # Small Arrow batches: the sort fills the heap, and batches lie outside it, in the JVM and in Python.
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH):
+        frames.write.option("lineSep", END_BYTE.decode()).option("maxRecordsPerFile", 2 * max(1, -(-rows // files))).text(path)
     return path
 
 

@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MEMO = 400_000  # pre-tokens a worker keeps at most, in two generations
-WORDS = 1_000_000  # words a worker keeps at most, some 40 bytes each
+WORDS = 500_000  # words a worker keeps at most, some 40 bytes each
 MEMO_LEN = 64  # longer pre-tokens are not memoised
 #: Letters whose Unicode class is the same in every library version.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я一-龥"
 #: Finds characters that are neither such letters, nor ASCII, nor common punctuation; texts that have one are split by the library itself.
 PLAIN = re.compile(f"[^\x00-\x1b\x20-\xb1´-¸»¿×÷º{LETTERS}‐-‧‰-⁞€]")
-SLICE = 8 << 20  # text bytes cut at a time (one text at least)
+SLICE = 4 << 20  # text bytes cut at a time (one text at least)
 _SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space on both sides of a space: a pre-token may lie across it, so that such texts aren't cut at their spaces.
 SPACED = rf"[{_SPACES}] (?:[{_SPACES}]|\z)"
