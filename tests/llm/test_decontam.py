@@ -57,8 +57,8 @@ def test_leaks_equal_brute_force(spark):
     bdf = spark.createDataFrame(items, "item_id long, text string")
     want = slow(docs, items)
     assert {w for _, w in want.values()} >= {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 15, 20}
-    for block in (10**6, 300):  # one pass and several
-        got = {(r.doc_id, r.item_id): (r.matched, r.window) for r in d.leaks(ddf, bdf, seed_block=block).collect()}
+    for block, size in ((10**6, 10**7), (300, 0)):  # one pass and broadcast seeds; several passes and shuffled seeds
+        got = {(r.doc_id, r.item_id): (r.matched, r.window) for r in d.leaks(ddf, bdf, seed_block=block, broadcast_bytes=size).collect()}
         assert got == want
     kept = {r.doc_id for r in d.without_leaks(ddf, bdf).collect()}
     assert kept == {i for i, _ in docs} - {i for i, _ in got}

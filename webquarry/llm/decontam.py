@@ -8,7 +8,7 @@ own length, laid over the whole item, that leave out every set of as many words
 
 Every document position gives one hash for each mask; a semi-join with the broadcast hashes of the test items
 leaves the positions that hit, and only these take the words around them along. They are joined with the items'
-seeds, the aligned words are compared, and the hit counts when some
+seeds (broadcast if their counted bytes are few, else shuffled and salted), the aligned words are compared, and the hit counts when some
 window of ``WINDOW`` words (the whole item, if shorter) around it agrees in ``SIMILARITY`` of
 its words, or when ``EXACT`` consecutive words agree, however long the item is. Only bounded slices of words travel with a hit.
 
@@ -32,7 +32,8 @@ WINDOW = 20
 SIMILARITY = 0.8
 EXACT = 11  # the shortest stretch that MASKS are sure to hit
 SEED_BLOCK = 2_000_000
-SALTS = 8  # a seed that very many positions hit is dealt to so many tasks
+BROADCAST_BYTES = 16 << 20  # of seeds with their words, as counted; beyond, they are joined shuffled
+SALTS = 8  # there, a seed that very many positions hit is dealt to so many tasks
 
 
 def words(text: Column) -> Column:
@@ -79,7 +80,7 @@ def _around(side: int) -> tuple[Column, Column]:
     return F.least("p", F.lit(side)), F.slice("t", F.greatest(F.col("p") - side, F.lit(0)) + 1, F.lit(2 * side + 1))
 
 
-def _found(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, seed_block: int = SEED_BLOCK) -> DataFrame:
+def _found(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, seed_block: int = SEED_BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, text_hash, item_id and the best window ``b`` (matched, window): one row for each text, id and item."""
     back, ctx = _around(WINDOW - 1)
     items, _ = written(bench.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("t")).where(F.size("t") > 0), "items")
@@ -101,9 +102,12 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     # copy a document's words for each of its positions.
     hits, _ = written(reduce(DataFrame.unionByName, [x.select("doc_id", "text_hash", "h", back.alias("dback"), ctx.alias("dctx")) for x in parts]), "hits")
 
-    salt = F.pmod(F.xxhash64("doc_id", "text_hash", "dctx"), F.lit(SALTS)).cast("int")
-    dealt = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = hits.withColumn("salt", salt).join(dealt, ["h", "salt"])
+    # A seed's words and, for each, an array's overhead.
+    if (seeds.agg(F.sum(F.octet_length(F.array_join("ctx", "")) + 16 * F.size("ctx") + 64)).first()[0] or 0) <= broadcast_bytes:
+        hits = hits.join(F.broadcast(seeds), "h")
+    else:
+        salt = F.pmod(F.xxhash64("doc_id", "text_hash", "dctx"), F.lit(SALTS)).cast("int")
+        hits = hits.withColumn("salt", salt).join(seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"])
     # Agreement at each word of the item's context; beyond the document's ends nothing agrees.
     aligned = F.expr("transform(ctx, (w, k) -> if(coalesce(w = get(dctx, k - back + dback), false), 1, 0))")
     hits = hits.select("doc_id", "text_hash", "item_id", F.least("n", F.lit(WINDOW)).alias("window"), aligned.alias("eq"))
@@ -119,7 +123,7 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     return kept.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("matched", "window")).alias("b"))
 
 
-def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, seed_block: int = SEED_BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, seed_block: int = SEED_BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each document and test item that leaked into it.
 
     Columns: ``doc_id``, ``item_id``, ``matched`` (agreeing words of the best window),
@@ -128,7 +132,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     items of under five words match verbatim only, so that a single word is an item too; repeated documents or items give one row
     for each id pair; other columns aren't read. Whole texts are scanned.
     """
-    found = _found(docs, bench, id_col, text_col, item_id, item_text, similarity, seed_block)
+    found = _found(docs, bench, id_col, text_col, item_id, item_text, similarity, seed_block, broadcast_bytes)
     out = found.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return out.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("b.window").cast("long").alias("window"), F.round(F.col("b.matched") / F.col("b.window"), 6).alias("overlap"))
 
