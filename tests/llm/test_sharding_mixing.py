@@ -180,3 +180,19 @@ def test_tokens_are_byte_bpe_tokens(spark):
     got = {r.doc_id: r for r in mixing.mix(df, target=None, repeats=None).collect()}
     assert got[1].n_tokens == n(run) > 100 and got[2].n_tokens == n("w " * 10) and got[3].n_tokens == 0
     assert got[1].weight == pytest.approx(n(run) / (n(run) + n("w " * 10)))
+
+
+@pytest.mark.parametrize("repeats", [1.5, None])
+def test_sources_planned_as_a_table(spark, monkeypatch, repeats):
+    """More sources than the driver holds give the same mix."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 60)
+    rows = [(i, " ".join(["w"] * (i % 13)), None if i % 29 == 0 else "hot" if i % 3 else f"s{i % 17}") for i in range(600)] + [(1, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    columns = ["doc_id", "source", "epoch", "block", "block_rank", "position"]
+    few, mixed = mixing.mix(df, repeats=repeats).collect(), mixing.mixed(df, repeats=repeats).collect()
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    many = mixing.mix(df, repeats=repeats).collect()
+    assert abs(few[0].exponent - many[0].exponent) < 1e-9
+    key = lambda r: str([r[c] for c in columns])
+    assert sorted(map(key, few)) == sorted(map(key, many))
+    assert sorted(map(str, mixed)) == sorted(map(str, mixing.mixed(df, repeats=repeats).collect()))
