@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def by_slices(column: pa.Array, make: Callable[[list], pa.Array], rows: int = 1000) -> pa.Array:
+    """``make`` over a batch some rows at a time, so that a worker holds few rows as Python objects; spare Arrow memory goes back."""
+    parts = [make(column.slice(at, rows).to_pylist()) for at in range(0, len(column), rows)] or [make([])]
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(parts)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table (columns ``a``, ``b``, any order, repeats allowed).
 

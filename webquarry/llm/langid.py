@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import by_slices
+
 HASH = 1 << 18
 WINDOWS = 400  # labelled windows a language
 WINDOW_CHARS = 1500
@@ -317,8 +319,11 @@ def predictor(spark, model: Model):
 
     @F.arrow_udf(kind)
     def predicted(texts: pa.Array) -> pa.Array:
-        got = held.value.predict(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.float64())], names=["lang", "score", "sure"])
+        return by_slices(texts, lambda rows: said(held.value.predict(rows)))
+
+    def said(got: list[tuple]) -> pa.Array:
+        columns = zip(*got) if got else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64()))], names=["lang", "score", "sure"])
 
     return predicted
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import by_slices
 from .token_count import Memo
 
 FIT_DOCS = 6_000
@@ -255,7 +256,7 @@ class Scorer:
 
 @F.arrow_udf(T.IntegerType())
 def votes_udf(texts: pa.Array) -> pa.Array:
-    return pa.array([packed(votes(t)) for t in texts.to_pylist()], pa.int32())
+    return by_slices(texts, lambda rows: pa.array([packed(votes(t)) for t in rows], pa.int32()))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[LabelModel, Scorer]:
@@ -295,14 +296,13 @@ def assess(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
 
     @F.arrow_udf(kind)
     def assessed(texts: pa.Array) -> pa.Array:
-        return assess_batch(texts, *held.value)
+        return by_slices(texts, lambda rows: assess_rows(rows, *held.value))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), assessed(F.col(text_col)).alias("a"))
     return rows.select("doc_id", "a.votes", "a.posterior", "a.score", (F.col("a.score") >= threshold).alias("keep"))
 
 
-def assess_batch(texts: pa.Array, model: LabelModel, scorer: Scorer) -> pa.Array:
-    rows = texts.to_pylist()
+def assess_rows(rows: list[str | None], model: LabelModel, scorer: Scorer) -> pa.Array:
     cast, scores = [], []
     for t in rows:
         m = measured(t)

@@ -187,6 +187,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, d
                 at += len(keys)
                 out = [document_frame(k, ids + tail) for k, ids in zip(keys, words.ids(cut))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+            pa.default_memory_pool().release_unused()
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = slim.repartitionByRange(int(min(files, TASKS)), *order).sortWithinPartitions(*order, F.col("text"))

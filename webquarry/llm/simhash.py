@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, written
+from .common import by_slices, connected_components, written
 
 TAU = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (offset, width) on the ring
@@ -65,7 +65,7 @@ def _signed(x: int) -> int:
 
 @F.arrow_udf(T.LongType())
 def fingerprint_udf(texts: pa.Array) -> pa.Array:
-    return pa.array([_signed(fingerprint(t)) for t in texts.to_pylist()], pa.int64())
+    return by_slices(texts, lambda rows: pa.array([_signed(fingerprint(t)) for t in rows], pa.int64()))
 
 
 def links(fps: DataFrame, tau: int = TAU) -> DataFrame:

@@ -33,7 +33,7 @@ MEMO_LEN = 64  # longer pre-tokens are not memoised
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я一-龥"
 #: Finds characters that are neither such letters, nor ASCII, nor common punctuation; texts that have one are split by the library itself.
 PLAIN = re.compile(f"[^\x00-\x1b\x20-\xb1´-¸»¿×÷º{LETTERS}‐-‧‰-⁞€]")
-SLICE = 4 << 20  # text bytes cut at a time (one text at least)
+SLICE = 8 << 20  # text bytes cut at a time (one text at least)
 _SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space on both sides of a space: a pre-token may lie across it, so that such texts aren't cut at their spaces.
 SPACED = rf"[{_SPACES}] (?:[{_SPACES}]|\z)"
@@ -238,6 +238,7 @@ class BytePairCounter:
             n = of_word.to_numpy()[cut.parts]
             n[cut.first[:-1]] = list(map(self.count, cut.heads))
             out.append(np.add.reduceat(n, cut.first[:-1]))
+        pa.default_memory_pool().release_unused()
         return np.concatenate(out)
 
 
