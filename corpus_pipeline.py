@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents`` in five stages, each one operator of webquarry.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read back as
-the next one's docs. The first four return the columns of documents.
+the next one's docs. The first four return the columns of documents. Empty tables pass through; further columns are kept, and
+columns of the pipeline's own begin with ``__wq_``.
 """
 
 from __future__ import annotations
@@ -15,27 +16,27 @@ SHARDS = 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no letter, or words of no clear language."""
+    """Drop documents without a language: null or letterless texts, or words of no clear language. Repeated rows are judged alike."""
     return langid.with_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash group."""
+    """Keep one document of each SimHash group, that of the smallest id; of rows that repeat it, one."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents into which a benchmark item leaked."""
+    """Drop documents into which a benchmark item leaked, told apart by id and text: a clean row stays whose id a leaked one repeats. Null texts leak nothing."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and thin sources to their tempered weights, within the tokens there are."""
+    """Repeat and thin sources to their tempered weights, within the tokens there are. A null source is a source; each of repeated rows has its own uses."""
     return mixing.mixed(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deal the mix to shards on the bounded-load ring; the documents' columns follow the shard's."""
+    """Deal the mix to shards on the bounded-load ring, each use of a document to its own slot; the documents' columns follow the shard's."""
     return sharding.assign(docs, SHARDS, carry=True)
 
 
