@@ -46,7 +46,7 @@ def test_cut_references_as_in_sql(spark, cut, name):
     equal(spark, cut, name)
 
 
-@pytest.mark.parametrize("name", ["headings"])
+@pytest.mark.parametrize("name", ["headings", "page_titles"])
 def test_pages_without_title_or_h1_as_in_sql(spark, tmp_path, name):
     rows = [(1, "<html><head></head><body><p>Neither title nor heading</p></body></html>"), (2, "<html><head><title></title></head><body><h2>Before</h2><h1>After</h1></body></html>"), (3, "<title>Only h2</title><h2>x</h2>")]
     spark.createDataFrame([(i, f"https://a.example/{i}", h) for i, h in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
